@@ -7,14 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .media import media_digests
+from .packing import pack
 from .simhash import simhash_components
 from .url_filter import judge_urls
+from .warc import warc_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(_table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -23,12 +34,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_exact_dedup, op6_simhash, op10_url_filter)}
+    return {f.__name__: f for f in (op1_media, op3_warc, op5_exact_dedup, op6_simhash, op7_packing, op10_url_filter)}
 
 
 _OP5 = """
@@ -38,5 +53,15 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+_OP3 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+g AS (SELECT b, max(page_id) AS newest FROM p WHERE octet_length(b) >= 1000 GROUP BY b HAVING count(*) > 1)
+SELECT p.page_id, octet_length(p.b)::BIGINT AS payload_bytes, sha1(p.b) AS payload_digest,
+       CASE WHEN g.newest <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.newest <> p.page_id THEN g.newest END AS refers_to, q.url AS target_uri
+FROM p LEFT JOIN g ON p.b = g.b JOIN pages q ON q.page_id = p.page_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _OP5}
+    return {"op3_warc": _OP3, "op5_exact_dedup": _OP5}
