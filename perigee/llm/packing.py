@@ -45,14 +45,24 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
         new = [w for w in dict.fromkeys(words) if w not in self.words]
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words, new = {}, list(dict.fromkeys(words))
-        for word, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.words[word] = np.array(code.ids, "<u4").tobytes()
+        # A word's last token alone ends a word, so all new ones are encoded in one text and cut apart again.
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(new):
+            raise ValueError(f"{len(new)} words gave {len(ends)} codes")
+        data, at = ids.tobytes(), 0
+        for word, end in zip(new, (4 * ends).tolist()):
+            self.words[word] = data[at:end]
+            at = end
 
     def __call__(self, text: str) -> bytes:
         if _UNUSUAL.search(text):
