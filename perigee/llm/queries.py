@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .media import media_digests
 from .packing import pack
+from .pii import find_pii
+from .quality import judge_quality
 from .simhash import simhash_components
 from .url_filter import judge_urls
 from .warc import warc_round_trip
@@ -22,6 +24,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
@@ -38,12 +44,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op3_warc, op5_exact_dedup, op6_simhash, op7_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_media, op2_pii, op3_warc, op5_exact_dedup, op6_simhash, op7_packing, op8_quality, op10_url_filter)}
 
 
 _OP5 = """
