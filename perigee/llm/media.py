@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .runtime import own, remove, settle, work_dir
+from .runtime import own, remove, settle, small_batches, work_dir
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -169,7 +169,7 @@ class ByteRange(InputPartition):
 
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.retries, self.batch_bytes = options["path"], int(options.get("retries", 3)), int(options.get("batch_bytes", 4 << 20))
+        self.path, self.retries, self.batch_bytes = options["path"], int(options.get("retries", 3)), int(options.get("batch_bytes", 1 << 20))
 
     def partitions(self) -> Sequence[InputPartition]:
         fs, root = open_dir(self.path)
@@ -261,7 +261,8 @@ def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """Store every row's whole text as a member of the archives below ``path``."""
     docs.sparkSession.dataSource.register(MediaArchive)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), own(text_col).alias("text"))
-    rows.write.format("media_archive").mode("append").options(**options).save(path)
+    with small_batches(docs.sparkSession):
+        rows.write.format("media_archive").mode("append").options(**options).save(path)
 
 
 def read_media(spark: SparkSession, path: str, **options: int) -> DataFrame:
