@@ -11,6 +11,7 @@ from .media import media_digests
 from .packing import pack
 from .pii import find_pii
 from .quality import judge_quality
+from .sentencepiece import encode_and_check
 from .simhash import simhash_components
 from .url_filter import judge_urls
 from .warc import warc_round_trip
@@ -48,12 +49,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_check(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_pii, op3_warc, op5_exact_dedup, op6_simhash, op7_packing, op8_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op1_media, op2_pii, op3_warc, op5_exact_dedup, op6_simhash, op7_packing, op8_quality, op9_sentencepiece, op10_url_filter)}
 
 
 _OP5 = """
