@@ -13,6 +13,7 @@ from .pii import find_pii
 from .quality import judge_quality
 from .sentencepiece import encode_and_check
 from .simhash import simhash_components
+from .substring_dedup import repeat_digests
 from .url_filter import judge_urls
 from .warc import warc_round_trip
 
@@ -33,6 +34,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_pii, op3_warc, op5_exact_dedup, op6_simhash, op7_packing, op8_quality, op9_sentencepiece, op10_url_filter)}
+    return {f.__name__: f for f in (op1_media, op2_pii, op3_warc, op4_suffix_dedup, op5_exact_dedup, op6_simhash, op7_packing, op8_quality, op9_sentencepiece, op10_url_filter)}
 
 
 _OP5 = """
