@@ -15,14 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import located, own, remove, salted_left_join, settle, work_dir
+from .runtime import located, own, remove, salted_left_join, settle, small_enough, work_dir
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": _ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -57,7 +57,7 @@ def _decide(docs: DataFrame, id_col: str, text_col: str, work: str, digest_bytes
     key = F.substring("sha", 1, digest_bytes)
     state = _run_state(spark, f"{work}/landing", key, work, batch_bytes).filter("hits > 1")
     # Full bytes of all hits: the text itself is the grouping key, so a hot text leaves one row per task.
-    hits = rows.select(own(text_col).alias("text")).withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, digest_bytes)).join(state.select("digest"), "digest", "left_semi")
+    hits = rows.select(own(text_col).alias("text")).withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, digest_bytes)).join(small_enough(state.select("digest")), "digest", "left_semi")
     texts = hits.groupBy("text").agg(F.first("digest").alias("digest"))
     mixed = settle(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"))
     found = salted_left_join(landed.withColumn("digest", key), state, "digest")
@@ -99,4 +99,4 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, found = _decide(docs, id_col, text_col, work, digest_bytes, batch_bytes)
     dropped = settle(found.filter(F.col("at") != F.col("keep.at")).select(F.col("at").alias("_at")))
     remove(spark, f"{work}/state")
-    return rows.join(dropped, "_at", "left_anti").select(*docs.columns)
+    return rows.join(small_enough(dropped), "_at", "left_anti").select(*docs.columns)

@@ -92,6 +92,15 @@ def salted_left_join(rows: DataFrame, lookup: DataFrame, key: str, salts: int =
     return spread.join(copies, [key, "_salt"], "left").drop("_salt")
 
 
+#: A set of keys up to so many rows (some tens of bytes each) is sent to every executor; a larger one is joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small_enough(keys: DataFrame) -> DataFrame:
+    """``keys`` (settled), marked for broadcast if a count shows that it is small; texts then stay where they are."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def own(text: str = "text") -> Column:
     """A text column where null counts as empty."""
     return F.coalesce(F.col(text), F.lit(""))

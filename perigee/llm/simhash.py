@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import located, remove, salted_left_join, settle, work_dir
+from .runtime import located, remove, salted_left_join, settle, small_enough, work_dir
 
 SHINGLE = 3
 SEED = 42
@@ -144,4 +144,4 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     rows = located(docs, work)
     found = _resolve(simhash_rows(rows, id_col, text_col, "_at"), dense)
     dropped = settle(found.filter(F.col("_at") != F.col("least._at")).select("_at"))
-    return rows.join(dropped, "_at", "left_anti").select(*docs.columns)
+    return rows.join(small_enough(dropped), "_at", "left_anti").select(*docs.columns)
