@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import settle
 
+#: Edges that one task takes; few edges aren't dealt to more tasks than they need.
+EDGES_PER_TASK = 100_000
+
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Every neighbour above a node is tied to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").coalesce(tasks).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """A node and its neighbours below are tied to the least of them; edges run from large (a) to small (b)."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     tied = edges.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    return tied.unionByName(least.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -31,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     mark = _mark(edges)
     while mark[0]:
-        edges = settle(_small_star(_large_star(edges)))
+        tasks = math.ceil(mark[0] / EDGES_PER_TASK)
+        edges = settle(_small_star(_large_star(edges.coalesce(tasks), tasks), tasks).coalesce(tasks))
         before, mark = mark, _mark(edges)
         if mark == before:
             break

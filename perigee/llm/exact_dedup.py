@@ -99,4 +99,5 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, found = _decide(docs, id_col, text_col, work, digest_bytes, batch_bytes)
     dropped = settle(found.filter(F.col("at") != F.col("keep.at")).select(F.col("at").alias("_at")))
     remove(spark, f"{work}/state")
+    remove(spark, f"{work}/landing")
     return rows.join(small_enough(dropped), "_at", "left_anti").select(*docs.columns)

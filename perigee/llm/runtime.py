@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
@@ -60,12 +61,18 @@ def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
 
 
 def locator(df: DataFrame) -> Column | None:
-    """Where a row's content lies: file and row index, if ``df`` reads files directly, else None."""
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    """Where a row's content lies: hash of the file's path and row index, if ``df`` reads files directly, else None.
+
+    Paths are few and known to the driver, so it is checked there that their hashes differ.
+    """
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     try:
         df.select(place)
     except AnalysisException:
         return None
+    paths = set(df.inputFiles())
+    if len({xxhash.xxh64_intdigest(p.encode(), 42) for p in paths}) < len(paths):
+        raise ValueError("two input files have one path hash; rename one")
     return place
 
 
