@@ -142,9 +142,14 @@ def nodal_columns(name: str, cycles: list[Column], factors: list[Column]) -> tup
             re = re + factors[s.latitude_class] * F.lit(s.ratio) * F.cos(turn * (2 * np.pi))
             im = im + factors[s.latitude_class] * F.lit(s.ratio) * F.sin(turn * (2 * np.pi))
         return re, im
+    return compound_columns(name, {parent: nodal_columns(parent, cycles, factors) for _, parent in c.terms})
+
+
+def compound_columns(name: str, parents: dict[str, tuple[Column, Column]]) -> tuple[Column, Column]:
+    """A shallow-water constituent's correction from its parents' ones."""
     size, angle = F.lit(0.0), F.lit(0.0)
-    for k, parent in c.terms:
-        a, b = nodal_columns(parent, cycles, factors)
+    for k, parent in BY_NAME[name].terms:
+        a, b = parents[parent]
         size = size + F.lit(abs(k)) * F.ln(F.hypot(a, b))
         angle = angle + F.lit(k) * F.atan2(b, a)
     return F.exp(size) * F.cos(angle), F.exp(size) * F.sin(angle)

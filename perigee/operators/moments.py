@@ -16,35 +16,37 @@ def moment_expressions(columns: list[str], targets: list[str]) -> list[str]:
     return out + [f"SUM({y} * {y}) AS yy_{k}" for k, y in enumerate(targets)] + ["COUNT(*) AS n_obs"]
 
 
-def solution_steps(p: int, targets: int) -> list[list[tuple[str, str]]]:
-    """Steps of named expressions, each on the names of the steps before: factor, forward, backward."""
+def solution_steps(p: int, targets: int, errors: bool = True) -> list[list[tuple[str, str]]]:
+    """Levels of named expressions, each on the names of the levels before: factor by columns, forward, backward,
+    and for ``errors`` the factor's inverse by diagonals and the noise. Few levels keep the plan shallow."""
     steps: list[list[tuple[str, str]]] = []
-    for i in range(p):
-        for j in range(i + 1):
-            less = "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
-            steps.append([(f"l_{i}_{j}", f"SQRT(s_{i}_{j}{less})" if i == j else f"(s_{i}_{j}{less}) / l_{j}_{j}")])
+    less = lambda i, j: "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
+    for j in range(p):
+        steps.append([(f"l_{j}_{j}", f"SQRT(s_{j}_{j}{less(j, j)})")])
+        if j + 1 < p:
+            steps.append([(f"l_{i}_{j}", f"(s_{i}_{j}{less(i, j)}) / l_{j}_{j}") for i in range(j + 1, p)])
     for i in range(p):
         steps.append([(f"z_{i}_{t}", f"(t_{i}_{t}" + "".join(f" - l_{i}_{k} * z_{k}_{t}" for k in range(i)) + f") / l_{i}_{i}") for t in range(targets)])
     for i in range(p - 1, -1, -1):
         steps.append([(f"b_{i}_{t}", f"(z_{i}_{t}" + "".join(f" - l_{k}_{i} * b_{k}_{t}" for k in range(i + 1, p)) + f") / l_{i}_{i}") for t in range(targets)])
-    # The inverse's diagonal: columns of the factor's inverse, squared and summed.
-    for i in range(p):
-        steps.append([(f"m_{i}_{i}", f"1.0 / l_{i}_{i}")])
-        for j in range(i + 1, p):
-            steps.append([(f"m_{j}_{i}", "-(" + " + ".join(f"l_{j}_{k} * m_{k}_{i}" for k in range(i, j)) + f") / l_{j}_{j}")])
-    steps.append([(f"v_{i}", " + ".join(f"m_{k}_{i} * m_{k}_{i}" for k in range(i, p))) for i in range(p)])
-    # White variance: squares of the data less those that the model explains, by degrees of freedom.
-    steps.append([(f"noise_{t}", f"(yy_{t}" + "".join(f" - b_{i}_{t} * t_{i}_{t}" for i in range(p)) + f") / (n_obs - {p})") for t in range(targets)])
+    if errors:
+        steps.append([(f"m_{i}_{i}", f"1.0 / l_{i}_{i}") for i in range(p)])
+        for d in range(1, p):
+            steps.append([(f"m_{i + d}_{i}", "-(" + " + ".join(f"l_{i + d}_{k} * m_{k}_{i}" for k in range(i, i + d)) + f") / l_{i + d}_{i + d}") for i in range(p - d)])
+        steps.append([(f"v_{i}", " + ".join(f"m_{k}_{i} * m_{k}_{i}" for k in range(i, p))) for i in range(p)])
+        # White variance: squares of the data less those that the model explains, by degrees of freedom.
+        steps.append([(f"noise_{t}", f"(yy_{t}" + "".join(f" - b_{i}_{t} * t_{i}_{t}" for i in range(p)) + f") / (n_obs - {p})") for t in range(targets)])
     return steps
 
 
-def solve_by_moments(design: DataFrame, key: str, columns: list[str], targets: list[str]) -> DataFrame:
-    """key, n_obs, b_i_t (coefficients), v_i (diagonal of the inverse), noise_t; series with too few rows are left out."""
+def solve_by_moments(design: DataFrame, key: str, columns: list[str], targets: list[str], errors: bool = False) -> DataFrame:
+    """key, n_obs, b_i_t (coefficients), and for ``errors`` v_i (diagonal of the inverse) and noise_t; series with too few rows are left out."""
     p = len(columns)
     table = design.groupBy(key).agg(*(_expr(x) for x in moment_expressions(columns, targets))).where(f"n_obs > {p}")
-    for step in solution_steps(p, len(targets)):
+    for step in solution_steps(p, len(targets), errors):
         table = table.withColumns({name: _expr(text) for name, text in step})
-    return table.select(key, "n_obs", *(f"b_{i}_{t}" for i in range(p) for t in range(len(targets))), *(f"v_{i}" for i in range(p)), *(f"noise_{t}" for t in range(len(targets))))
+    more = [*(f"v_{i}" for i in range(p)), *(f"noise_{t}" for t in range(len(targets)))] if errors else []
+    return table.select(key, "n_obs", *(f"b_{i}_{t}" for i in range(p) for t in range(len(targets))), *more)
 
 
 def moments_sql(source: str, key: str, columns: list[str], targets: list[str]) -> str:

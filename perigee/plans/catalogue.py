@@ -236,9 +236,15 @@ _NODAL = {n: sa.nodal_sql(n, _CYC, sa.factor_sql("60.0::DOUBLE")) for n in ("M2"
 @query(f"WITH {HOURLY}, {_HOURS} " + " UNION ALL ".join(f"SELECT hour, '{n}' AS name, {_s(re)} AS re, {_s(im)} AS im FROM hours" for n, (re, im) in _NODAL.items()))
 def nodal_corrections(spark, sf_dir):
     cycles, _ = astronomy.argument_columns(F.col("mjd"))
-    factors = astronomy.latitude_factor_columns(F.lit(60.0))
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), *(_r(x).alias(k) for k, x in zip(("re", "im"), astronomy.nodal_columns(n, cycles, factors)))) for n in _NODAL)))
-    return _hours(spark, sf_dir).select("hour", each.alias("x")).select("hour", "x.*")
+    rows = _hours(spark, sf_dir).withColumns({f"y{k}": c for k, c in enumerate(cycles)} | {f"f{k}": x for k, x in enumerate(astronomy.latitude_factor_columns(F.lit(60.0)))})
+    y, f = [F.col(f"y{k}") for k in range(6)], [F.col(f"f{k}") for k in range(3)]
+    # Base corrections first, compounds from their columns: each is computed once.
+    base = {n: astronomy.nodal_columns(n, y, f) for n in ("M2", "K1", "S2")}
+    rows = rows.withColumns({f"{k}_{n}": x for n, pair in base.items() for k, x in zip(("re", "im"), pair)})
+    compound = astronomy.compound_columns("MS4", {n: (F.col(f"re_{n}"), F.col(f"im_{n}")) for n in base})
+    rows = rows.withColumns({f"{k}_MS4": x for k, x in zip(("re", "im"), compound)})
+    each = F.inline(F.array(*(F.struct(F.lit(n).alias("name"), _r(f"re_{n}").alias("re"), _r(f"im_{n}").alias("im")) for n in _NODAL)))
+    return rows.select("hour", each)
 
 
 # -- fits by moments -----------------------------------------------------------------------------------------------
@@ -267,8 +273,8 @@ def _fit_sql(names, trend, targets=("u",)):
     return f"WITH {_raw_sql(names, trend)}, {moments.moments_sql('design', 'series_id', _design_columns(names, trend), list(targets))} "
 
 
-def _fit_native(spark, sf_dir, names, trend, targets=("u",)):
-    return moments.solve_by_moments(_raw_design(spark, sf_dir, names, trend), "series_id", _design_columns(names, trend), list(targets))
+def _fit_native(spark, sf_dir, names, trend, targets=("u",), errors=False):
+    return moments.solve_by_moments(_raw_design(spark, sf_dir, names, trend), "series_id", _design_columns(names, trend), list(targets), errors)
 
 
 @query(_fit_sql(("M2",), False) + f"SELECT series_id, n_obs, {_s('b_0_0', 5)} AS cos_m2, {_s('b_1_0', 5)} AS sin_m2, {_s('SQRT(b_0_0 * b_0_0 + b_1_0 * b_1_0)', 5)} AS amplitude, {_s('b_2_0', 5)} AS mean FROM solved")
@@ -341,7 +347,7 @@ def white_confidence(spark, sf_dir):
     c, s = F.col("b_0_0"), F.col("b_1_0")
     a, _ = post.amplitude_phase(c, s)
     interval, _ = post.white_intervals(c, s, F.col("noise_0") * F.col("v_0"), F.col("noise_0") * F.col("v_1"))
-    return _fit_native(spark, sf_dir, ("M2", "K1"), True).select("series_id", _r(interval, 5).alias("amplitude_ci"), _r(post.scalar_snr(a, interval), 5).alias("snr"), _r("noise_0", 4).alias("noise"))
+    return _fit_native(spark, sf_dir, ("M2", "K1"), True, errors=True).select("series_id", _r(interval, 5).alias("amplitude_ci"), _r(post.scalar_snr(a, interval), 5).alias("snr"), _r("noise_0", 4).alias("noise"))
 
 
 # -- coefficients in long form ---------------------------------------------------------------------------------------
