@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import settle
+from .runtime import settle, small_batches
 
 CAPACITY = 4096
 END = 1
 #: Distinct words whose ids a worker keeps; beyond it the table is started anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 _LETTER = "a-zªµºß-öø-ſ"
 _NUMBER = "0-9²³¹¼½¾"
@@ -218,7 +218,8 @@ def _place(slots: np.ndarray):
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of a document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = settle(rows.mapInArrow(_cut(tokenizer or default_tokenizer(), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"))
+    with small_batches(docs.sparkSession, 500):
+        pieces = settle(rows.mapInArrow(_cut(tokenizer or default_tokenizer(), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"))
     by_task = settle(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in by_task.groupBy("length").agg(F.sum("n")).toLocalIterator():  # at most ``capacity`` rows

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import located, remove, salted_left_join, settle, small_enough, work_dir
+from .runtime import located, remove, salted_left_join, settle, small_batches, small_enough, work_dir
 
 SHINGLE = 3
 SEED = 42
@@ -112,7 +112,9 @@ def links(fps: DataFrame, dense: int = 64) -> DataFrame:
 
 def simhash_rows(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
     """id, the columns in ``keep``, fp: one row per document; settled, as the texts are read just once."""
-    return settle(docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text")).mapInArrow(_to_fingerprints, _schema(docs, id_col, keep)))
+    rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
+    with small_batches(docs.sparkSession, 500):
+        return settle(rows.mapInArrow(_to_fingerprints, _schema(docs, id_col, keep)))
 
 
 def _schema(docs: DataFrame, id_col: str, keep: tuple[str, ...]) -> str:
