@@ -27,8 +27,8 @@ from .runtime import settle, small_batches
 
 CAPACITY = 4096
 END = 1
-#: Distinct words whose ids a worker keeps; beyond it the table is started anew.
-CACHE_WORDS = 150_000
+#: Distinct words whose ids a worker keeps: two generations, so that words in use outlive the rare ones.
+CACHE_WORDS = 300_000
 
 _LETTER = "a-zªµºß-öø-ſ"
 _NUMBER = "0-9²³¹¼½¾"
@@ -37,6 +37,22 @@ _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ſ‐-‧€]|<\\|")
 _WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
 
 
+class _Generations(dict):
+    """Words of this generation; those of the last one move here when they are used."""
+
+    def __init__(self):
+        super().__init__()
+        self.last: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = code = self.last[word]
+        return code
+
+    def turn(self) -> None:
+        self.last = dict(self)
+        self.clear()
+
+
 class WordTokens:
     """Token ids of whole texts as little-endian 32-bit bytes; words are encoded once and remembered."""
 
@@ -48,12 +64,12 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
+        self.words = _Generations()
 
     def _learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words, new = {}, list(dict.fromkeys(words))
+        if len(self.words) > CACHE_WORDS // 2:
+            self.words.turn()
+        new = [w for w in dict.fromkeys(words) if w not in self.words and w not in self.words.last]
         # A word's last token alone ends a word, so all new ones are encoded in one text and cut apart again.
         ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
