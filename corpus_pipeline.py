@@ -10,11 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from perigee.llm.exact_dedup import drop_exact
+from perigee.llm.near_copies import drop_near_copies
 from perigee.llm.packing import pack
 from perigee.llm.pii import redact
 from perigee.llm.quality import drop_poor
 from perigee.llm.runtime import remove, settle, work_dir
-from perigee.llm.simhash import drop_near
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints the one with the least identifier stays."""
-    return drop_near(docs)
+    """Of documents alike in five-word shingles to 0.8, or linked by fingerprints, the one with the least identifier stays."""
+    return drop_near_copies(docs)
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

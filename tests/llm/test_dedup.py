@@ -190,3 +190,41 @@ def test_whole_small_table(spark, sf):
     least = {g: min(i for (i, _), h in zip(rows, groups) if h == g) for g in set(groups)}
     assert all(got[i].fingerprint == f"{v:016x}" and got[i].component_id == least[g] for (i, _), v, g in zip(rows, values, groups))
     assert exact_dedup(d).where("kept").count() == d.select(F.coalesce("text", F.lit(""))).distinct().count()
+
+
+def shingles(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+@pytest.mark.parametrize("dense", [48, 1])
+def test_near_copies(spark, dense):
+    from perigee.llm.near_copies import drop_near_copies
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows, groups = [(None, "tiny"), (900, None), (901, "")], []
+    for g in range(25):
+        base = [word() for _ in range(rng.randint(60, 400))]
+        texts = [" ".join(base)]
+        for _ in range(rng.choice([0, 1, 3])):
+            copy = list(base)
+            for _ in range(max(1, len(base) // 120)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+        far = list(base)
+        for i in range(0, len(far), 6):
+            far[i] = word()
+        ids = rng.sample(range(g * 20, g * 20 + 20), len(texts) + 1)
+        rows += list(zip(ids, [*texts, " ".join(far)]))
+        groups.append((texts, ids[:-1], ids[-1]))
+    table = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, fp long").repartition(4)
+    out = drop_near_copies(table, dense=dense)
+    kept = {r.doc_id for r in out.collect()}
+    assert out.columns == table.columns
+    for texts, ids, far in groups:
+        assert far in kept
+        a = shingles(texts[0])
+        if all(len(a & shingles(t)) >= 0.8 * len(a | shingles(t)) for t in texts[1:]):
+            assert (min(ids) in kept) and (dense == 1 or not kept & (set(ids) - {min(ids)}))
+    assert None in kept and 900 in kept and 901 not in kept
