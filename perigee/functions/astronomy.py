@@ -90,6 +90,15 @@ class TimeTerms:
         return np.exp(np.abs(self.mix) @ np.log(np.abs(base)) + 1j * (self.mix @ np.angle(base)))
 
 
+    def nodal_many(self, latitudes: np.ndarray) -> np.ndarray:
+        """Corrections (latitudes, names, times), as :meth:`nodal` of each."""
+        factors = np.stack([latitude_factors(x) for x in latitudes])
+        base = 1.0 + np.tensordot(factors, self.terms, 1)
+        if np.array_equal(self.mix, np.eye(len(self.mix))):
+            return base
+        return np.exp(np.abs(self.mix) @ np.log(np.abs(base)) + 1j * (self.mix @ np.angle(base)))
+
+
 def argument_columns(mjd: Column) -> tuple[list[Column], list[Column]]:
     """The six cycles and the six cycles per day as column expressions."""
     days = mjd + F.lit(ORDINAL_AT_MJD_ZERO) - F.lit(EPOCH_ORDINAL)

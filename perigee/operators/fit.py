@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perigee.functions.astronomy import TimeTerms
-from perigee.operators.kernel import Model, Record, least_squares, rayleigh  # noqa: F401
+from perigee.functions import ellipse
+from perigee.operators.kernel import Model, Record, gains, rayleigh
 from perigee.operators.options import AnalysisError, FitOptions
 
 _ARRAYS = ("frequency", "cos", "sin", "amplitude", "phase", "pe", "snr", "amplitude_ci", "phase_ci", "u_cos", "u_sin", "v_cos", "v_sin", "semi_major", "semi_minor", "inclination", "semi_major_ci", "semi_minor_ci", "inclination_ci", "weights", "lower_rr", "higher_rr", "lower_rnm", "higher_rnm", "lower_correlation", "higher_correlation")
@@ -80,10 +81,95 @@ class Solver:
         return out | {"reference": record.reference, "span": record.span, "rows": len(mjd), "rank_order": presentation(out, self.options.order)}
 
 
+#: Series with the same times that are solved together, and the condition of the normal matrix up to which they are.
+TOGETHER, WELL_CONDITIONED = 32, 1e8
+
+
+class Stack:
+    """Plain least squares of many series on the same times at once: one batch of normal equations.
+
+    Their relative error is that of the orthogonal solution for well-conditioned models; others, and
+    everything but plain fits, go through :class:`Solver` one by one.
+    """
+
+    def __init__(self, solver: Solver):
+        self.solver, o = solver, solver.options
+        self.plain = o.method == "ols" and o.confidence == "none" and not o.infer and not o.diagnostics
+
+    def solve(self, mjd: np.ndarray, values: list[np.ndarray], latitudes: np.ndarray) -> dict[int, dict]:
+        """Results by position; ``values``: one or two arrays (series, times). Positions that aren't well conditioned are left out."""
+        o, solver = self.solver.options, self.solver
+        record, names, terms, at_reference = solver._kept(solver.terms, mjd.tobytes(), lambda: solver._times(mjd))
+        frequency, k, n = at_reference.frequency[:, 0], len(names), len(mjd)
+        if (frequency <= 0).any() or len(np.unique(frequency)) < k or n <= 2 * k + 1 + o.trend:
+            return {}
+        advance = 24.0 * frequency[:, None] * (mjd - record.reference)[None]
+        phase = {"greenwich": lambda: terms.phase, "linear_time": lambda: at_reference.phase + advance, "raw": lambda: advance}[o.phase]()
+        turn = gains(frequency, o.prefilter)[:, None] * np.exp(2j * np.pi * phase)
+        affine = np.stack([np.ones(n)] + ([(mjd - record.reference) / record.span] if o.trend else []))
+        out: dict[int, dict] = {}
+        for at in range(0, len(latitudes), TOGETHER):
+            lat = latitudes[at : at + TOGETHER]
+            if o.nodal == "disabled":
+                z = np.broadcast_to(turn, (len(lat), k, n))
+            else:
+                used = terms if o.nodal == "exact" else at_reference
+                z = used.nodal_many(lat) * turn
+            design = np.empty((len(lat), 2 * k + len(affine), n))
+            design[:, : 2 * k : 2], design[:, 1 : 2 * k : 2], design[:, 2 * k :] = z.real, z.imag, affine
+            normal = design @ design.transpose(0, 2, 1)
+            data = np.stack([v[at : at + TOGETHER] for v in values], axis=2)
+            size = np.linalg.eigvalsh(normal)
+            fine = np.flatnonzero(size[:, -1] < WELL_CONDITIONED * size[:, 0])
+            if not len(fine):
+                continue
+            beta = np.linalg.solve(normal[fine], design[fine] @ data[fine])
+            for j, b in zip(fine.tolist(), beta):
+                out[at + j] = self._described(b, record, names, frequency, n)
+        return out
+
+    def _described(self, b: np.ndarray, record: Record, names: tuple[str, ...], frequency: np.ndarray, n: int) -> dict:
+        o, k = self.solver.options, len(names)
+        slope = b[2 * k + 1] / record.span if o.trend else np.zeros(b.shape[1])
+        out = {"names": list(names), "frequency": frequency, "mean": float(b[2 * k, 0]), "slope": float(slope[0]), "iterations": 0, "termination": "ols", "reference": record.reference, "span": record.span, "rows": n}
+        c, s = b[: 2 * k : 2], b[1 : 2 * k : 2]
+        if b.shape[1] == 1:
+            out |= {"cos": c[:, 0], "sin": s[:, 0], "amplitude": np.hypot(c[:, 0], s[:, 0]), "phase": np.mod(np.degrees(np.arctan2(s[:, 0], c[:, 0])), 360.0)}
+            energy = out["amplitude"] ** 2
+        else:
+            out |= {"u_cos": c[:, 0], "u_sin": s[:, 0], "v_cos": c[:, 1], "v_sin": s[:, 1], "mean_v": float(b[2 * k, 1]), "slope_v": float(slope[1])}
+            out["semi_major"], out["semi_minor"], out["inclination"], out["phase"] = ellipse.from_coefficients(c[:, 0], s[:, 0], c[:, 1], s[:, 1])
+            energy = out["semi_major"] ** 2 + out["semi_minor"] ** 2
+        out["pe"] = 100.0 * energy / energy.sum()
+        return out | {"rank_order": presentation(out, o.order)}
+
+
 def _listed(x):
     return None if x is None else [None if isinstance(v, float) and math.isnan(v) else v for v in np.asarray(x).tolist()]
 
 
+def together(stack: Stack, t: np.ndarray, y: np.ndarray, z: np.ndarray | None, bounds: np.ndarray, latitudes: list) -> dict[int, dict]:
+    """Results, by row of a batch, of series that share their valid times with others and have nothing odd."""
+    groups: dict[bytes, list[int]] = {}
+    ok = np.isfinite(t) & np.isfinite(y) & (True if z is None else np.isfinite(z))
+    for i, (a, b, lat) in enumerate(zip(bounds, bounds[1:], latitudes)):
+        if lat is None or not (np.isfinite(lat) and 0 < abs(lat) <= 90) or np.isinf(y[a:b]).any() or (z is not None and np.isinf(z[a:b]).any()):
+            continue
+        groups.setdefault(t[a:b][ok[a:b]].tobytes(), []).append(i)
+    out: dict[int, dict] = {}
+    for key, rows in groups.items():
+        mjd = np.frombuffer(key)
+        if len(rows) < 4 or len(mjd) < 2 or (np.diff(mjd) <= 0).any():
+            continue
+        values = [np.stack([x[bounds[i] : bounds[i + 1]][ok[bounds[i] : bounds[i + 1]]] for i in rows]) for x in (y, z) if x is not None]
+        try:
+            found = stack.solve(mjd, values, np.array([latitudes[i] for i in rows]))
+        except AnalysisError:
+            continue
+        out |= {rows[j]: x for j, x in found.items()}
+    return out
+
+
 def pack(obs: DataFrame, series: str = "series_id", time: str = "mjd", u: str = "u", v: str | None = None) -> DataFrame:
     """series_id, o: array of (t, u[, v]) by time; missing times go, missing values stay as null for the kernel to mask."""
     known = obs.where(F.col(time).isNotNull() & ~F.isnan(F.col(time)))
@@ -114,15 +200,23 @@ def fit(obs: DataFrame, options: FitOptions, sites: DataFrame | None = None, ser
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         solver, schema = Solver(options, axis), None
+        stack = Stack(solver)
         for batch in batches:
             lists = batch.column("o")
             points, bounds = lists.flatten(), lists.offsets.to_numpy()
             bounds = bounds - bounds[0]
             t, y, z = (points.field(i).to_numpy(zero_copy_only=False) if i < points.type.num_fields else None for i in range(3))
             out: dict[str, list] = {n: [] for n in names}
+            done = together(stack, t, y, z, bounds, batch.column("lat").to_pylist()) if stack.plain else {}
             for i, (key, lat, stream) in enumerate(zip(batch.column("series_id").to_pylist(), batch.column("lat").to_pylist(), batch.column("stream").to_pylist())):
                 own = slice(bounds[i], bounds[i + 1])
                 try:
+                    if i in done:
+                        found = done[i] | {"status": "fitted", "series_id": key, "latitude": lat}
+                        for n in names:
+                            x = found.get(n)
+                            out[n].append(_listed(x) if n in _ARRAYS or n in _INDICES else x)
+                        continue
                     with np.errstate(divide="ignore", invalid="ignore"):
                         found = solver.solve(t[own], y[own], None if z is None else z[own], float("nan") if lat is None else lat, stream) | {"status": "fitted"}
                 except AnalysisError as e:

@@ -182,3 +182,22 @@ def test_streamed_refit_equals_batch(spark, tmp_path):
     q.stop()
     whole = refit_windows(events, "ts", "user_id", "value", 10)
     assert 0 < spark.table("refits").count() and spark.table("refits").exceptAll(whole).count() == 0
+
+
+@pytest.mark.parametrize("v", [None, "v"])
+@pytest.mark.parametrize("given", [{}, {"nodal": "linear_time", "phase": "linear_time"}, {"nodal": "disabled", "phase": "raw", "trend": False}, {"constituents": ("M2", "MS4", "K1"), "order": "frequency"}])
+def test_series_solved_together_equal_single_ones(spark, v, given):
+    from perigee.operators.kernel import solve
+
+    o = FitOptions(**({"constituents": NAMES} | given))
+    rng = np.random.default_rng(1)
+    data = {s: (signal(40.0 + s) + rng.normal(0, 0.1, len(T)), signal(40.0 + s, 50.0)) for s in range(40)}
+    for s in range(0, 40, 9):
+        data[s][0][s] = np.nan
+    rows = spark.createDataFrame([(s, float(t), float(x), float(y)) for s, (a, b) in data.items() for t, x, y in zip(T, a, b)], "series_id long, mjd double, u double, v double")
+    sites = spark.createDataFrame([(s, 40.0 + s) for s in data], "series_id long, lat double")
+    for r in fitting.fit(rows.coalesce(1), o, sites, v=v).collect():
+        alone = solve(T, data[r.series_id][0], data[r.series_id][1] if v else None, 40.0 + r.series_id, o)
+        assert r.status == "fitted" and r.names == alone["names"] and r.rows == alone["rows"]
+        for c in ("pe", "mean", "slope", "frequency", *(("semi_major", "semi_minor", "u_cos", "v_sin", "mean_v") if v else ("cos", "sin", "amplitude"))):
+            assert np.allclose(r[c], alone[c], atol=1e-10), c
