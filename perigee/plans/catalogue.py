@@ -18,6 +18,7 @@ from perigee.operators.options import FitOptions, PreFilter, Relation
 from perigee.plans import sql_astronomy as sa
 from perigee.plans.tables import HOURLY, MJD, OBS, SAMPLED, hourly, obs, pmod, read
 from perigee.sources import constituents as cat
+from perigee.sources.fields import split_time, vector_field
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -74,6 +75,20 @@ def time_axis(spark, sf_dir):
     return axis.select("time_index", _r("mjd").alias("mjd"))
 
 
+@query(f"SELECT event_id, CASE WHEN event_id % 10 > 0 THEN {_s('58000 + event_id % 30 + (event_id % 86400) * 1000 / 86400000.0::DOUBLE')} END AS mjd FROM events")
+def split_times(spark, sf_dir):
+    e = F.col("event_id")
+    parts = read(spark, sf_dir, "events").select("event_id", F.when(e % 10 > 0, 58000 + e % 30).otherwise(-1).alias("itime"), ((e % 86400) * 1000).alias("itime2"))
+    return parts.select("event_id", _r(split_time(fill=-1)).alias("mjd"))
+
+
+@query(f"WITH {OBS} SELECT series_id, {_s('mjd')} AS mjd, {_s('u')} AS u, v FROM obs WHERE series_id < 20 AND u IS NOT NULL AND v <> 3")
+def vector_field_scan(spark, sf_dir):
+    rows = obs(spark, sf_dir).withColumnsRenamed({"series_id": "element", "u": "ua", "v": "va"})
+    out = vector_field(rows, fill=3.0, prefix=20, time=F.col("mjd"))
+    return out.select("series_id", _r("mjd").alias("mjd"), _r("u").alias("u"), "v")
+
+
 # -- sampling ----------------------------------------------------------------------------------------------------
 
 _GAPS = "gaps AS (SELECT series_id, MAX(d) AS gap FROM (SELECT series_id, mjd - LAG(mjd) OVER (PARTITION BY series_id ORDER BY mjd) AS d FROM obs) GROUP BY series_id)"
