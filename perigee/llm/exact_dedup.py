@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import located, own, remove, salted_left_join, settle, small_enough, work_dir
+from .runtime import located, own, remove, restored, salted_left_join, settle, small_enough, work_dir
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STATE_CONF = {
@@ -47,15 +47,16 @@ def _run_state(spark: SparkSession, landing: str, key: Column, work: str, batch_
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def _decide(docs: DataFrame, id_col: str, text_col: str, work: str, digest_bytes: int, batch_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """The located rows, and per row: at, id, sha, keep (id, at), hits."""
+def _decide(docs: DataFrame, id_col: str, text_col: str, work: str, digest_bytes: int, batch_bytes: int) -> tuple[DataFrame, dict[str, str], DataFrame]:
+    """The located rows with their names, and per row: at, id, sha, keep (id, at), hits."""
     spark = docs.sparkSession
-    rows = located(docs, work)
+    rows, names = located(docs, work)
+    id_col, text_col = names[id_col], names[text_col]
     sha = F.unhex(F.sha2(own(text_col), 256))
     rows.select(F.col(id_col).alias("id"), sha.alias("sha"), F.col("_at").alias("at")).write.parquet(f"{work}/landing")
     landed = spark.read.parquet(f"{work}/landing")
     if landed.isEmpty():
-        return rows, landed.withColumns({"keep": F.struct("id", "at"), "hits": F.lit(1).cast("long")})
+        return rows, names, landed.withColumns({"keep": F.struct("id", "at"), "hits": F.lit(1).cast("long")})
     key = F.substring("sha", 1, digest_bytes)
     state = _run_state(spark, f"{work}/landing", key, work, batch_bytes).filter("hits > 1")
     # Full bytes of all hits: the text itself is the grouping key, so a hot text leaves one row per task.
@@ -69,7 +70,7 @@ def _decide(docs: DataFrame, id_col: str, text_col: str, work: str, digest_bytes
         by_text = odd.groupBy("text").agg(F.max(F.struct("id", "at")).alias("true_keep"), F.count(F.lit(1)).alias("true_hits"))
         true = odd.join(by_text, "text").select("at", "true_keep", "true_hits")
         found = found.join(true, "at", "left").withColumns({"keep": F.coalesce("true_keep", "keep"), "hits": F.coalesce("true_hits", "hits")}).drop("true_keep", "true_hits")
-    return rows, found.select("at", "id", "sha", F.coalesce("keep", F.struct("id", "at")).alias("keep"), F.coalesce("hits", F.lit(1).cast("long")).alias("hits"))
+    return rows, names, found.select("at", "id", "sha", F.coalesce("keep", F.struct("id", "at")).alias("keep"), F.coalesce("hits", F.lit(1).cast("long")).alias("hits"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32, batch_bytes: int = 8 << 30) -> DataFrame:
@@ -80,7 +81,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     work = work_dir(spark, "exact")
-    _, found = _decide(docs, id_col, text_col, work, digest_bytes, batch_bytes)
+    _, _, found = _decide(docs, id_col, text_col, work, digest_bytes, batch_bytes)
     out = settle(
         found.select(
             F.col("id").alias("doc_id"),
@@ -98,8 +99,8 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without the rows whose text a kept row already has; all columns as they came."""
     spark = docs.sparkSession
     work = work_dir(spark, "exact")
-    rows, found = _decide(docs, id_col, text_col, work, digest_bytes, batch_bytes)
+    rows, names, found = _decide(docs, id_col, text_col, work, digest_bytes, batch_bytes)
     dropped = settle(found.filter(F.col("at") != F.col("keep.at")).select(F.col("at").alias("_at")))
     remove(spark, f"{work}/state")
     remove(spark, f"{work}/landing")
-    return rows.join(small_enough(dropped), "_at", "left_anti").select(*docs.columns)
+    return restored(rows.join(small_enough(dropped), "_at", "left_anti"), names)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import located, salted_left_join, settle, small_batches, small_enough, work_dir
+from .runtime import located, restored, salted_left_join, settle, small_batches, small_enough, work_dir
 from .simhash import _SCATTERED, _near, _resolve, _signed, fingerprint
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -133,7 +133,8 @@ def similar_links(rows: DataFrame, sketch: DataFrame, text_col: str, similarity:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, dense: int = 48) -> DataFrame:
     """``docs`` with one row of each component of near copies; all columns as they came."""
     spark = docs.sparkSession
-    rows = located(docs, work_dir(spark, "near"))
+    rows, names = located(docs, work_dir(spark, "near"))
+    id_col, text_col = names[id_col], names[text_col]
     place = rows.schema["_at"].dataType.simpleString()
     kind = rows.schema[id_col].dataType.simpleString()
     with small_batches(spark, 500):
@@ -147,4 +148,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = settle(sketch.select("uid", "id", "_at").join(member, "uid"))
     least = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_at")).alias("least"))
     dropped = settle(placed.join(least, "root").where(F.col("_at") != F.col("least._at")).select("_at"))
-    return rows.join(small_enough(dropped), "_at", "left_anti").select(*docs.columns)
+    return restored(rows.join(small_enough(dropped), "_at", "left_anti"), names)

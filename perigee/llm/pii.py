@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import own, settle
+from .runtime import own, restored, settle, shielded
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns; the guards in front only say where a leftmost match can begin (at a run's start, or right
@@ -237,7 +237,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``docs`` with every span of its texts replaced by the kind in brackets; overlapping spans give one."""
     model = fit(settle(scan(docs, id_col, text_col)))
     kinds = F.array(*(F.lit(f"[{x.upper()}]") for x in (*KINDS, *GENERATORS)))
-    rows = docs.withColumn("_base", F.array_sort(F.concat(*base_spans(own(text_col)))))
+    columns, names = shielded(docs)
+    text_col = names[text_col]
+    rows = docs.select(*columns).withColumn("_base", F.array_sort(F.concat(*base_spans(own(text_col)))))
     rows = rows.withColumn("_more", candidates(own(text_col), F.col("_base"))).withColumn("_all", all_spans(model))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -247,4 +249,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(meets, acc["out"]).otherwise(F.concat(acc["out"], kept, F.get(kinds, x["k"]))).alias("out"))
 
     clean = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.char_length(text_col))))
-    return rows.withColumn(text_col, F.when(F.size("_all") > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)
+    return restored(rows.withColumn(text_col, F.when(F.size("_all") > 0, clean).otherwise(F.col(text_col))), names)

@@ -76,17 +76,28 @@ def locator(df: DataFrame) -> Column | None:
     return place
 
 
-def located(df: DataFrame, work: str) -> DataFrame:
-    """``df`` with a column ``_at`` (file, row) that names each row, also among equal rows.
+def shielded(df: DataFrame) -> tuple[list[Column], dict[str, str]]:
+    """``df``'s columns under names that nothing here uses, and from old to new names."""
+    names = {c: f"v{i}" for i, c in enumerate(df.columns)}
+    return [F.col(f"`{c}`").alias(n) for c, n in names.items()], names
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
+def located(df: DataFrame, work: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with shielded names and a column ``_at`` (file, row) that names each row, also among equal rows.
 
     A frame that doesn't read files directly is first written below ``work``.
     """
+    columns, names = shielded(df)
     place = locator(df)
     if place is None:
-        df.write.mode("overwrite").parquet(f"{work}/rows")
+        df.select(*columns).write.mode("overwrite").parquet(f"{work}/rows")
         df = df.sparkSession.read.parquet(f"{work}/rows")
-        place = locator(df)
-    return df.select("*", place.alias("_at"))
+        columns, place = list(names.values()), locator(df)
+    return df.select(*columns, place.alias("_at")), names
 
 
 def salted_left_join(rows: DataFrame, lookup: DataFrame, key: str, salts: int = SALTS) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import located, remove, salted_left_join, settle, small_batches, small_enough, work_dir
+from .runtime import located, restored, salted_left_join, settle, small_batches, small_enough, work_dir
 
 SHINGLE = 3
 SEED = 42
@@ -143,7 +143,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = 64) -> DataFrame:
     """``docs`` with one row of each component, the one with the least identifier; all columns as they came."""
     work = work_dir(docs.sparkSession, "near")
-    rows = located(docs, work)
-    found = _resolve(simhash_rows(rows, id_col, text_col, "_at"), dense)
+    rows, names = located(docs, work)
+    found = _resolve(simhash_rows(rows, names[id_col], names[text_col], "_at"), dense)
     dropped = settle(found.filter(F.col("_at") != F.col("least._at")).select("_at"))
-    return rows.join(small_enough(dropped), "_at", "left_anti").select(*docs.columns)
+    return restored(rows.join(small_enough(dropped), "_at", "left_anti"), names)

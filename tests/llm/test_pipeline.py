@@ -34,3 +34,15 @@ def test_run_equals_the_stages(spark, sf, stages):
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     out = corpus_pipeline.run(spark, sf).select(columns)
     assert out.exceptAll(stages["packing"].select(columns)).count() == 0 and out.count() == stages["packing"].count()
+
+
+@pytest.mark.parametrize("name", ["quality", "exact", "near", "privacy"])
+def test_clashing_columns(spark, sf, name):
+    from pyspark.sql import functions as F
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.createDataFrame([(1, "some words here a@b.cd", "en", "s", 3), (2, None, None, None, None), (None, "x", "en", "s", 1), (1, "some words here a@b.cd", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = docs.withColumns({c: F.lit(7) for c in ("_at", "id", "key", "keep", "fp", "v0", "_base", "_all", "_text", "host", "path", "p", "digest", "uid", "least", "a.b")})
+    out = stage(spark, odd, sf)
+    assert out.columns == odd.columns and 1 <= out.count() <= 4
+    assert stage(spark, odd.limit(0), sf).count() == 0
