@@ -66,29 +66,29 @@ class WordTokens:
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.words = _Generations()
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         if len(self.words) > CACHE_WORDS // 2:
             self.words.turn()
-        new = [w for w in dict.fromkeys(words) if w not in self.words and w not in self.words.last]
+        new = list(words - self.words.keys() - self.words.last.keys())
+        if not new:
+            return
         # A word's last token alone ends a word, so all new ones are encoded in one text and cut apart again.
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(new):
             raise ValueError(f"{len(new)} words gave {len(ends)} codes")
-        data, at = ids.tobytes(), 0
-        for word, end in zip(new, (4 * ends).tolist()):
-            self.words[word] = data[at:end]
-            at = end
+        data, cuts = ids.tobytes(), (4 * ends).tolist()
+        self.words.update(zip(new, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what is new in any of them is learnt at once."""
+        cut = [None if _UNUSUAL.search(t) else _WORDS.findall(t.lower()) for t in texts]
+        self._learn(set().union(*filter(None, cut)))
+        code = self.words.__getitem__
+        return [b"".join(map(code, words)) if words is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, words in zip(texts, cut)]
 
     def __call__(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = _WORDS.findall(text.lower())
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            return b"".join(map(self.words.__getitem__, words))
+        return self.many([text])[0]
 
 
 _loaded: dict[str, WordTokens] = {}
@@ -114,8 +114,8 @@ def _cut(path: str, capacity: int):
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column("doc_id"), batch.column("text")):
-                ids, key = memoryview(encode(text.as_py() or "") + end), key.as_py()
+            for key, ids in zip(batch.column("doc_id").to_pylist(), encode.many([x or "" for x in batch.column("text").to_pylist()])):
+                ids = memoryview(ids + end)
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + capacity)]
                     n = len(own) // 4
