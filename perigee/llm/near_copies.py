@@ -8,8 +8,9 @@ two fingerprints of such texts are never more than ``RADIUS`` apart in practice
 and their distances to a pivot differ by no more than they do. Survivors are verified on their whole shingle sets. Links at
 two bits by :mod:`perigee.llm.simhash` are added; components of both keep one row.
 
-A key with over ``dense`` documents compares its members with its least member, and those not alike with the next key's:
-copies of one text all meet its least copy, so nothing is paired within such a group.
+A key with over ``dense`` documents compares its members with four of them only, the least of each residue, so that
+nothing is paired within a group of copies. Its other members can miss a link to each other there, unless another of
+their keys has it.
 
 Defined results: null texts count as empty; fewer words than a shingle are one shingle; texts without words are
 alike; of a component the row with the least identifier stays (null is larger than every other), of equal ones the first in
@@ -33,6 +34,8 @@ from .simhash import _SCATTERED, _near, _resolve, _signed, fingerprint
 SHINGLE, SIMILARITY = 5, 0.8
 KEYS, ROWS = 24, 4
 RADIUS = 34
+#: Members of a crowded key that its others are compared with.
+LEAST = 4
 _A = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) | 1) % 2**64 for i in range(KEYS * ROWS)], np.uint64)
 
 
@@ -110,7 +113,7 @@ def similar_links(rows: DataFrame, sketch: DataFrame, text_col: str, similarity:
     for j, pivot in enumerate(_SCATTERED):
         far = far + F.shiftleft(F.bit_count(F.col("fp5").bitwiseXOR(F.lit(_signed(pivot)))).cast("long"), 8 * j)
     met = sketch.select("uid", "n", "fp5", far.alias("far"), F.explode("keys").alias("key"))
-    shared = settle(met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("uid", "n", "fp5", "far")).alias("least")).where("size > 1"))
+    shared = settle(met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *(F.min(F.when(F.pmod("uid", F.lit(LEAST)) == i, F.struct("uid", "n", "fp5", "far"))).alias(f"least{i}") for i in range(LEAST))).where("size > 1"))
     light = settle(met.join(shared.where(F.col("size") <= dense).select("key"), "key"))
     left = light.select("key", *(F.col(c).alias(f"{c}_a") for c in ("uid", "n", "fp5", "far")))
     right = light.select(F.col("key").alias("other"), *(F.col(c).alias(f"{c}_b") for c in ("uid", "n", "fp5", "far")))
@@ -118,10 +121,11 @@ def similar_links(rows: DataFrame, sketch: DataFrame, text_col: str, similarity:
     apart = F.bit_count(F.col("fp5_a").bitwiseXOR(F.col("fp5_b"))) <= RADIUS
     discard = sizes & _near("far_a", "far_b", RADIUS) & apart
     pairs = left.join(right, (F.col("key") == F.col("other")) & (F.col("uid_a") < F.col("uid_b")) & discard).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"))
-    heavy = salted_left_join(met, shared.where(F.col("size") > dense).select("key", "least"), "key").where("least IS NOT NULL")
-    stars = heavy.select(F.col("least.uid").alias("uid_a"), F.col("least.n").alias("n_a"), F.col("least.fp5").alias("fp5_a"), F.col("least.far").alias("far_a"), *(F.col(c).alias(f"{c}_b") for c in ("uid", "n", "fp5", "far")))
-    stars = stars.where((F.col("uid_a") != F.col("uid_b")) & discard).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"))
-    candidates = settle(pairs.unionByName(stars).distinct())
+    heavy = settle(salted_left_join(met, shared.where(F.col("size") > dense).drop("least"), "key").where("size IS NOT NULL"))
+    for i in range(LEAST):
+        star = heavy.select(*(F.col(f"least{i}.{c}").alias(f"{c}_a") for c in ("uid", "n", "fp5", "far")), *(F.col(c).alias(f"{c}_b") for c in ("uid", "n", "fp5", "far")))
+        pairs = pairs.unionByName(star.where((F.col("uid_a") != F.col("uid_b")) & discard).select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")))
+    candidates = settle(pairs.distinct())
     asked = settle(candidates.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(sketch.select("uid", "_at"), "uid"))
     texts = rows.join(small_enough(asked), "_at").select("uid", F.col(text_col).alias("text"))
     with small_batches(rows.sparkSession, 500):
