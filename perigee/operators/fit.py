@@ -174,7 +174,9 @@ def pack(obs: DataFrame, series: str = "series_id", time: str = "mjd", u: str =
     """series_id, o: array of (t, u[, v]) by time; missing times go, missing values stay as null for the kernel to mask."""
     known = obs.where(F.col(time).isNotNull() & ~F.isnan(F.col(time)))
     point = F.struct(F.col(time).cast("double").alias("t"), F.col(u).cast("double").alias("u"), *([F.col(v).cast("double").alias("v")] if v else []))
-    return known.groupBy(F.col(series).alias("series_id")).agg(F.array_sort(F.collect_list(point)).alias("o"))
+    # Dealt by hand, as the work per row is heavy: partitions are few bytes then, and would be merged otherwise.
+    dealt = known.select(F.col(series).alias("series_id"), point.alias("p")).repartition(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id")
+    return dealt.groupBy("series_id").agg(F.array_sort(F.collect_list("p")).alias("o"))
 
 
 def shared_axis(obs: DataFrame, time: str = "mjd") -> np.ndarray:
