@@ -8,9 +8,9 @@ two fingerprints of such texts are never more than ``RADIUS`` apart in practice
 and their distances to a pivot differ by no more than they do. Survivors are verified on their whole shingle sets. Links at
 two bits by :mod:`perigee.llm.simhash` are added; components of both keep one row.
 
-A key with over ``dense`` documents compares its members with four of them only, the least of each residue, so that
-nothing is paired within a group of copies. Its other members can miss a link to each other there, unless another of
-their keys has it.
+A key with over ``dense`` documents first compares its members with four of them only, the least of each residue, so
+that nothing is paired within a group of copies. Where that leaves several components in a key, the members outside the
+largest meet all others in blocks, and each pair of different components is compared; pairs within a component change nothing.
 
 Defined results: null texts count as empty; fewer words than a shingle are one shingle; texts without words are
 alike; of a component the row with the least identifier stays (null is larger than every other), of equal ones the first in
@@ -34,8 +34,10 @@ from .simhash import _SCATTERED, _near, _resolve, _signed, fingerprint
 SHINGLE, SIMILARITY = 5, 0.8
 KEYS, ROWS = 24, 4
 RADIUS = 34
-#: Members of a crowded key that its others are compared with.
+#: Members of a crowded key that its others are compared with first.
 LEAST = 4
+#: Members in a block of a crowded key, and bytes of their shingle sets; two blocks meet in one task.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 _A = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) | 1) % 2**64 for i in range(KEYS * ROWS)], np.uint64)
 
 
@@ -107,6 +109,66 @@ def _alike(similarity: float):
     return run
 
 
+def _across(similarity: float):
+    """Links between components of one key: left members against right ones, as many links as join components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        uid, n, fp5 = (table.column(c).to_numpy() for c in ("uid", "n", "fp5"))
+        stray, right = (table.column(c).to_numpy() for c in ("stray", "right"))
+        fp5 = fp5.view(np.uint64)  # numpy counts the bits of absolute values
+        _, root = np.unique(table.column("root").to_numpy(), return_inverse=True)
+        part = np.arange(root.max() + 1)  # of each root
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()]
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.r_[0, np.cumsum(n)]
+        others, marked, links = np.flatnonzero(right), np.zeros(len(ids) + 1, bool), []
+        for a in np.flatnonzero(~right):
+            sizes = np.minimum(n[a], n[others]) >= similarity * np.maximum(n[a], n[others])
+            once = ~stray[others] | (uid[others] > uid[a])
+            c = others[sizes & once & (part[root[others]] != part[root[a]]) & (np.bitwise_count(fp5[others] ^ fp5[a]) <= RADIUS)]
+            if not len(c):
+                continue
+            own = ids[starts[a] : starts[a + 1]]
+            marked[own] = True
+            ends = np.r_[0, np.cumsum(n[c])]
+            at = np.arange(ends[-1]) + np.repeat(starts[c] - ends[:-1], n[c])
+            both = np.diff(np.r_[0, np.cumsum(marked[ids[at]])][ends])
+            marked[own] = False
+            c = c[both >= similarity * (n[a] + n[c] - both)]
+            joined, first = np.unique(part[root[c]], return_index=True)
+            part[np.isin(part, joined)] = part[root[a]]
+            links += [(uid[a], uid[b]) for b in c[first]]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    return run
+
+
+def _texts(rows: DataFrame, sketch: DataFrame, uids: DataFrame, text_col: str) -> DataFrame:
+    """uid, text of the documents asked for."""
+    asked = settle(uids.distinct().join(sketch.select("uid", "_at"), "uid"))
+    return rows.join(small_enough(asked), "_at").select("uid", F.col(text_col).alias("text"))
+
+
+def crowded_links(rows: DataFrame, sketch: DataFrame, text_col: str, heavy: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that join what the links ``found`` leave apart within a key of ``heavy`` (key, uid, n, fp5)."""
+    roots = components(found).select(F.col("a").alias("uid"), F.col("b").alias("root"))
+    members = settle(heavy.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")))
+    parts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    largest = F.struct("c", "root", "w")
+    keys = parts.groupBy("key").agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("parts"), F.max(largest).alias("main")).where("parts > 1")
+    blocks = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
+    keys = settle(keys.select("key", F.col("main.root").alias("main"), blocks(F.col("c") - F.col("main.c"), F.col("w") - F.col("main.w")).alias("lefts"), blocks(F.col("c"), F.col("w")).alias("rights")))
+    met = settle(salted_left_join(members, keys, "key").where("main IS NOT NULL").withColumn("stray", F.col("root") != F.col("main")))
+    own = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["key", "uid", "n", "fp5", "root", "stray"]
+    left = met.where("stray").select(*columns, F.lit(False).alias("right"), own("lefts").alias("i"), every("rights").alias("j"))
+    dealt = left.unionByName(met.select(*columns, F.lit(True).alias("right"), every("lefts").alias("i"), own("rights").alias("j")))
+    with small_batches(rows.sparkSession, 500):
+        sets = settle(_texts(rows, sketch, met.select("uid"), text_col).mapInArrow(_sets, "uid long, s binary"))
+        return settle(dealt.join(sets, "uid").groupBy("key", "i", "j").applyInArrow(_across(similarity), "a long, b long").distinct())
+
+
 def similar_links(rows: DataFrame, sketch: DataFrame, text_col: str, similarity: float = SIMILARITY, dense: int = 48) -> DataFrame:
     """Edges (a, b) on ``uid`` of documents whose shingle sets are alike."""
     far = F.lit(0).cast("long")
@@ -126,12 +188,14 @@ def similar_links(rows: DataFrame, sketch: DataFrame, text_col: str, similarity:
         star = heavy.select(*(F.col(f"least{i}.{c}").alias(f"{c}_a") for c in ("uid", "n", "fp5", "far")), *(F.col(c).alias(f"{c}_b") for c in ("uid", "n", "fp5", "far")))
         pairs = pairs.unionByName(star.where((F.col("uid_a") != F.col("uid_b")) & discard).select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")))
     candidates = settle(pairs.distinct())
-    asked = settle(candidates.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(sketch.select("uid", "_at"), "uid"))
-    texts = rows.join(small_enough(asked), "_at").select("uid", F.col(text_col).alias("text"))
+    texts = _texts(rows, sketch, candidates.select(F.explode(F.array("a", "b")).alias("uid")), text_col)
     with small_batches(rows.sparkSession, 500):
         sets = settle(texts.mapInArrow(_sets, "uid long, s binary"))
         both = candidates.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b")
-        return settle(both.select("a", "b", "sa", "sb").mapInArrow(_alike(similarity), "a long, b long"))
+        found = settle(both.select("a", "b", "sa", "sb").mapInArrow(_alike(similarity), "a long, b long"))
+    if heavy.isEmpty():
+        return found
+    return found.unionByName(crowded_links(rows, sketch, text_col, heavy.select("key", "uid", "n", "fp5"), found, similarity))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, dense: int = 48) -> DataFrame:

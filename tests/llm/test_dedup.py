@@ -228,3 +228,23 @@ def test_near_copies(spark, dense):
         if all(len(a & shingles(t)) >= 0.8 * len(a | shingles(t)) for t in texts[1:]):
             assert (min(ids) in kept) and (dense == 1 or not kept & (set(ids) - {min(ids)}))
     assert None in kept and 900 in kept and 901 not in kept
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_near_copies_in_a_crowded_key(spark, monkeypatch, block):
+    from perigee.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    common, texts = [word() for _ in range(60)], []
+    for g in range(30):
+        own = [word() for _ in range(40)]
+        texts += [" ".join(common + own), " ".join(common + own[:-3] + [word() for _ in range(3)])]
+    rng.shuffle(texts)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_at long, text string").repartition(4)
+    sets = [shingles(t) for t in texts]
+    sketch = spark.createDataFrame([(i, i, 0, len(s), [1, 2]) for i, s in enumerate(sets)], "uid long, _at long, fp5 long, n long, keys array<long>")
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in near_copies.similar_links(rows, sketch, "text", dense=8).collect()}
+    assert len(want) == 30 and got == want
