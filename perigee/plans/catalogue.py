@@ -410,9 +410,11 @@ def inferred_constituents(spark, sf_dir):
 _TARGETS = "targets AS (SELECT DISTINCT hour / 24.0::DOUBLE AS mjd FROM hourly WHERE hour % 24 = 0)"
 
 
-@query(_COEF.replace(f"WITH {OBS}", f"WITH {HOURLY}, {_TARGETS}, {OBS}") + f"SELECT series_id, {_s('mjd')} AS mjd, {_s('SUM(c * COS(' + repr(2 * math.pi * 24) + ' * frequency * (mjd - 60324)) + s * SIN(' + repr(2 * math.pi * 24) + ' * frequency * (mjd - 60324)))', 4)} AS tide FROM coef, targets GROUP BY series_id, mjd")
-def reconstruct_series(spark, sf_dir):
-    targets = hourly(spark, sf_dir).where("hour % 24 = 0").select((F.col("hour") / 24.0).alias("mjd")).distinct()
+_DAILY = _COEF.replace(f"WITH {OBS}", f"WITH {HOURLY}, {_TARGETS}, {OBS}") + f"SELECT series_id, {_s('mjd')} AS mjd, {_s('SUM(c * COS(' + repr(2 * math.pi * 24) + ' * frequency * (mjd - 60324)) + s * SIN(' + repr(2 * math.pi * 24) + ' * frequency * (mjd - 60324)))', 4)} AS tide FROM coef, targets GROUP BY series_id, mjd"
+
+
+def _reconstructed(spark, sf_dir, hours):
+    targets = hours.select((F.col("hour") / 24.0).alias("mjd")).distinct()
     names = spark.createDataFrame([(n, cat.BY_NAME[n].frequency) for n in FIVE], "name string, f double")
     angle = F.lit(2 * math.pi * 24) * F.col("f") * (F.col("mjd") - 60324)
     # Times by five constituents: the basis table, with the few constituents broadcast.
@@ -420,6 +422,17 @@ def reconstruct_series(spark, sf_dir):
     return post.evaluate(_coef(spark, sf_dir), basis).select("series_id", _r("mjd").alias("mjd"), _r("tide", 4).alias("tide"))
 
 
+@query(_DAILY)
+def reconstruct_series(spark, sf_dir):
+    return _reconstructed(spark, sf_dir, hourly(spark, sf_dir).where("hour % 24 = 0"))
+
+
+# At every time of the table, not once a day.
+@query(_DAILY.replace(" WHERE hour % 24 = 0", ""))
+def reconstruct_hours(spark, sf_dir):
+    return _reconstructed(spark, sf_dir, hourly(spark, sf_dir))
+
+
 _POINTS = "points AS (SELECT series_id, mjd, u - b_10_0 - b_11_0 * tr AS raw, " + " + ".join(f"b_{2 * i}_0 * c{i} + b_{2 * i + 1}_0 * s{i}" for i in range(5)) + " AS tide FROM design JOIN solved USING (series_id)) "
 
 

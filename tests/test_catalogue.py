@@ -54,3 +54,10 @@ def test_entry_stands_without_the_subpackage(monkeypatch):
     entry = real("__spark_entry__")
     assert "pipeline" not in entry.queries() and "harmonic_fit_trend" in entry.queries() and entry.oracle_sql()
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_every_hour_is_reconstructed(spark):
+    hours = catalogue.hourly(spark, DIR).select("hour").distinct().count()
+    out = catalogue.queries()["reconstruct_hours"](spark, DIR)
+    assert out.select("mjd").distinct().count() == hours
+    assert out.count() == hours * out.select("series_id").distinct().count()
