@@ -554,10 +554,13 @@ column_ AS (SELECT element_id, layer, -s * (h + zeta) AS d FROM mesh JOIN node U
 depths AS (SELECT element_id, layer, AVG(d) AS depth FROM column_ GROUP BY 1, 2 HAVING COUNT(d) = 3)"""
 
 
-def _mesh(spark, sf_dir):
+_ALL = _MESH.replace(" WHERE p_partkey % 10 = 1", "")
+
+
+def _mesh(spark, sf_dir, whole=False):
     part = read(spark, sf_dir, "part")
     key = F.col("p_partkey")
-    mesh = part.where(key % 10 == 1).select(key.alias("element_id"), F.array(key, key + 1, key + 2).alias("node_ids"))
+    mesh = (part if whole else part.where(key % 10 == 1)).select(key.alias("element_id"), F.array(key, key + 1, key + 2).alias("node_ids"))
     nodes = part.select(key.alias("node_id"), (20 + F.col("p_retailprice") % 10).alias("h"), ((F.col("p_size") % 5) / 10.0).alias("zeta"))
     sigma = nodes.select("node_id").crossJoin(F.broadcast(spark.createDataFrame([(1, -0.25), (2, -0.5), (3, -0.75)], "layer int, sigma double")))
     return vertical.layer_depths(mesh, sigma, nodes.select("node_id", "h"), nodes.select(F.lit(0.0).alias("mjd"), "node_id", "zeta"))
@@ -568,16 +571,34 @@ def layer_depths(spark, sf_dir):
     return _mesh(spark, sf_dir).select("element_id", "layer", _r("depth").alias("depth"))
 
 
-@query(
+# Elements of every part row, not of each tenth one.
+@query(f"WITH {_ALL} SELECT element_id, layer, {_s('depth')} AS depth FROM depths")
+def mesh_layer_depths(spark, sf_dir):
+    return _mesh(spark, sf_dir, whole=True).select("element_id", "layer", _r("depth").alias("depth"))
+
+
+_FIXED = (
     f"""WITH {_MESH}, lay AS (SELECT *, element_id % 7 + layer AS u, LEAD(depth) OVER w AS d1, LEAD(element_id % 7 + layer) OVER w AS u1 FROM depths WINDOW w AS (PARTITION BY element_id ORDER BY layer)),
     hit AS (SELECT element_id, target, layer, CASE WHEN target = depth THEN u WHEN target = d1 THEN u1 ELSE u + (target - depth) / (d1 - depth) * (u1 - u) END AS u FROM lay, (VALUES (6.0::DOUBLE), (12.0::DOUBLE), (40.0::DOUBLE)) t(target) WHERE target BETWEEN depth AND COALESCE(d1, depth))
     SELECT element_id, target, {_s('u')} AS u FROM hit QUALIFY ROW_NUMBER() OVER (PARTITION BY element_id, target ORDER BY layer) = 1"""
 )
-def fixed_depths(spark, sf_dir):
-    layers = _mesh(spark, sf_dir).withColumn("u", (F.col("element_id") % 7 + F.col("layer")).cast("double"))
+
+
+def _interpolated(mesh):
+    layers = mesh.withColumn("u", (F.col("element_id") % 7 + F.col("layer")).cast("double"))
     return vertical.to_depths(layers, [6.0, 12.0, 40.0], ("element_id",), ("u",)).select("element_id", "target", _r("u").alias("u"))
 
 
+@query(_FIXED)
+def fixed_depths(spark, sf_dir):
+    return _interpolated(_mesh(spark, sf_dir))
+
+
+@query(_FIXED.replace(_MESH, _ALL))
+def mesh_fixed_depths(spark, sf_dir):
+    return _interpolated(_mesh(spark, sf_dir, whole=True))
+
+
 # -- the kernel (no SQL: iterative, spectral or drawn) -----------------------------------------------------------------
 
 
