@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import located, own, remove, restored, salted_left_join, settle, small_enough, work_dir
+from .runtime import located, own, released, remove, restored, settle, small_enough, spread_join, work_dir
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STATE_CONF = {
@@ -30,7 +30,7 @@ _STATE_CONF = {
 
 
 def _run_state(spark: SparkSession, landing: str, key: Column, work: str, batch_bytes: int) -> DataFrame:
-    """Stream the landed rows through the keyed state; one row per key: key, keep (id, at), hits."""
+    """Stream the landed rows through the keyed state; of the keys hit more than once: digest, keep (id, at), hits."""
     saved = {k: spark.conf.get(k, None) for k in _STATE_CONF}
     for k, v in _STATE_CONF.items():
         spark.conf.set(k, v)
@@ -41,7 +41,7 @@ def _run_state(spark: SparkSession, landing: str, key: Column, work: str, batch_
         query.awaitTermination()
         rows = spark.read.format("statestore").load(f"{work}/state")
         (name,), value = rows.schema["key"].dataType.names, rows.schema["value"].dataType.names
-        return settle(rows.select(F.col(f"key.`{name}`").alias("digest"), F.col(f"value.`{value[0]}`").alias("keep"), F.col(f"value.`{value[1]}`").alias("hits")))
+        return settle(rows.select(F.col(f"key.`{name}`").alias("digest"), F.col(f"value.`{value[0]}`").alias("keep"), F.col(f"value.`{value[1]}`").alias("hits")).where("hits > 1"))
     finally:
         for k, v in saved.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
@@ -58,17 +58,17 @@ def _decide(docs: DataFrame, id_col: str, text_col: str, work: str, digest_bytes
     if landed.isEmpty():
         return rows, names, landed.withColumns({"keep": F.struct("id", "at"), "hits": F.lit(1).cast("long")})
     key = F.substring("sha", 1, digest_bytes)
-    state = _run_state(spark, f"{work}/landing", key, work, batch_bytes).filter("hits > 1")
+    state = _run_state(spark, f"{work}/landing", key, work, batch_bytes)
     # Full bytes of all hits: the text itself is the grouping key, so a hot text leaves one row per task.
     hits = rows.select(own(text_col).alias("text")).withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, digest_bytes)).join(small_enough(state.select("digest")), "digest", "left_semi")
     texts = hits.groupBy("text").agg(F.first("digest").alias("digest"))
     mixed = settle(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"))
-    found = salted_left_join(landed.withColumn("digest", key), state, "digest")
+    found = spread_join(landed.withColumn("digest", key), state, "digest", ["at"], sizes=state.select("digest", F.col("hits").alias("n")))
     if not mixed.isEmpty():
         # Several texts under one digest: group those rows by their bytes.
         odd = rows.select(F.col("_at").alias("at"), F.col(id_col).alias("id"), own(text_col).alias("text")).withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, digest_bytes)).join(mixed.select("digest"), "digest", "left_semi")
-        by_text = odd.groupBy("text").agg(F.max(F.struct("id", "at")).alias("true_keep"), F.count(F.lit(1)).alias("true_hits"))
-        true = odd.join(by_text, "text").select("at", "true_keep", "true_hits")
+        by_text = settle(odd.groupBy("text").agg(F.max(F.struct("id", "at")).alias("true_keep"), F.count(F.lit(1)).alias("true_hits")))
+        true = spread_join(odd, by_text, "text", ["at"], "inner", by_text.select("text", F.col("true_hits").alias("n"))).select("at", "true_keep", "true_hits")
         found = found.join(true, "at", "left").withColumns({"keep": F.coalesce("true_keep", "keep"), "hits": F.coalesce("true_hits", "hits")}).drop("true_keep", "true_hits")
     return rows, names, found.select("at", "id", "sha", F.coalesce("keep", F.struct("id", "at")).alias("keep"), F.coalesce("hits", F.lit(1).cast("long")).alias("hits"))
 
@@ -101,6 +101,4 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work = work_dir(spark, "exact")
     rows, names, found = _decide(docs, id_col, text_col, work, digest_bytes, batch_bytes)
     dropped = settle(found.filter(F.col("at") != F.col("keep.at")).select(F.col("at").alias("_at")))
-    remove(spark, f"{work}/state")
-    remove(spark, f"{work}/landing")
-    return restored(rows.join(small_enough(dropped), "_at", "left_anti"), names)
+    return released(restored(rows.join(small_enough(dropped), "_at", "left_anti"), names), work)

@@ -4,8 +4,8 @@ fingerprints link.
 SimHash alone can't index this: at a similarity of 0.8 some ten of 64 bits differ, and no key survives that. So
 candidates meet under minimum hashes of their shingles (24 keys of four; a pair at 0.8 shares none with probability 3e-6, a
 more similar one with less), and the pivot distance table of their fingerprints discards pairs before the exact comparison:
-two fingerprints of such texts are never more than ``RADIUS`` apart in practice (ten standard deviations would be needed at 34),
-and their distances to a pivot differ by no more than they do. Survivors are verified on their whole shingle sets. Links at
+a bit of two such fingerprints differs with probability 0.2 at most, so more than ``RADIUS`` = 34 of 64 do with less than
+1e-8, and their distances to a pivot differ by no more than they do. Survivors are verified on their whole shingle sets. Links at
 two bits by :mod:`perigee.llm.simhash` are added; components of both keep one row.
 
 A key with over ``dense`` documents first compares its members with four of them only, the least of each residue, so
@@ -13,7 +13,7 @@ that nothing is paired within a group of copies. Where that leaves several compo
 largest meet all others in blocks, and each pair of different components is compared; pairs within a component change nothing.
 
 Defined results: null texts count as empty; fewer words than a shingle are one shingle; texts without words are
-alike; of a component the row with the least identifier stays (null is larger than every other), of equal ones the first in
+alike; a very long text is shingled whole; of a component the row with the least identifier stays (null is larger than every other), of equal ones the first in
 place; an empty table gives an empty result.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import located, restored, salted_left_join, settle, small_batches, small_enough, work_dir
+from .runtime import located, released, restored, settle, small_batches, small_enough, spread_join, work_dir
 from .simhash import _SCATTERED, _near, _resolve, _signed, fingerprint
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -158,7 +158,7 @@ def crowded_links(rows: DataFrame, sketch: DataFrame, text_col: str, heavy: Data
     keys = parts.groupBy("key").agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("parts"), F.max(largest).alias("main")).where("parts > 1")
     blocks = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
     keys = settle(keys.select("key", F.col("main.root").alias("main"), blocks(F.col("c") - F.col("main.c"), F.col("w") - F.col("main.w")).alias("lefts"), blocks(F.col("c"), F.col("w")).alias("rights")))
-    met = settle(salted_left_join(members, keys, "key").where("main IS NOT NULL").withColumn("stray", F.col("root") != F.col("main")))
+    met = settle(spread_join(members, keys, "key", ["uid"], "inner").withColumn("stray", F.col("root") != F.col("main")))
     own = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["key", "uid", "n", "fp5", "root", "stray"]
@@ -176,14 +176,15 @@ def similar_links(rows: DataFrame, sketch: DataFrame, text_col: str, similarity:
         far = far + F.shiftleft(F.bit_count(F.col("fp5").bitwiseXOR(F.lit(_signed(pivot)))).cast("long"), 8 * j)
     met = sketch.select("uid", "n", "fp5", far.alias("far"), F.explode("keys").alias("key"))
     shared = settle(met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *(F.min(F.when(F.pmod("uid", F.lit(LEAST)) == i, F.struct("uid", "n", "fp5", "far"))).alias(f"least{i}") for i in range(LEAST))).where("size > 1"))
-    light = settle(met.join(shared.where(F.col("size") <= dense).select("key"), "key"))
+    sizes = shared.select("key", F.col("size").alias("n"))
+    light = settle(spread_join(met, settle(shared.where(F.col("size") <= dense).select("key")), "key", ["uid"], "inner", sizes))
     left = light.select("key", *(F.col(c).alias(f"{c}_a") for c in ("uid", "n", "fp5", "far")))
     right = light.select(F.col("key").alias("other"), *(F.col(c).alias(f"{c}_b") for c in ("uid", "n", "fp5", "far")))
     sizes = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
     apart = F.bit_count(F.col("fp5_a").bitwiseXOR(F.col("fp5_b"))) <= RADIUS
     discard = sizes & _near("far_a", "far_b", RADIUS) & apart
     pairs = left.join(right, (F.col("key") == F.col("other")) & (F.col("uid_a") < F.col("uid_b")) & discard).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"))
-    heavy = settle(salted_left_join(met, shared.where(F.col("size") > dense).drop("least"), "key").where("size IS NOT NULL"))
+    heavy = settle(spread_join(met, settle(shared.where(F.col("size") > dense)), "key", ["uid"], "inner", sizes))
     for i in range(LEAST):
         star = heavy.select(*(F.col(f"least{i}.{c}").alias(f"{c}_a") for c in ("uid", "n", "fp5", "far")), *(F.col(c).alias(f"{c}_b") for c in ("uid", "n", "fp5", "far")))
         pairs = pairs.unionByName(star.where((F.col("uid_a") != F.col("uid_b")) & discard).select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")))
@@ -191,7 +192,8 @@ def similar_links(rows: DataFrame, sketch: DataFrame, text_col: str, similarity:
     texts = _texts(rows, sketch, candidates.select(F.explode(F.array("a", "b")).alias("uid")), text_col)
     with small_batches(rows.sparkSession, 500):
         sets = settle(texts.mapInArrow(_sets, "uid long, s binary"))
-        both = candidates.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b")
+        both = spread_join(candidates, sets.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a", ["b"], "inner")
+        both = spread_join(both, sets.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b", ["a"], "inner", candidates.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
         found = settle(both.select("a", "b", "sa", "sb").mapInArrow(_alike(similarity), "a long, b long"))
     if heavy.isEmpty():
         return found
@@ -201,7 +203,8 @@ def similar_links(rows: DataFrame, sketch: DataFrame, text_col: str, similarity:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, dense: int = 48) -> DataFrame:
     """``docs`` with one row of each component of near copies; all columns as they came."""
     spark = docs.sparkSession
-    rows, names = located(docs, work_dir(spark, "near"))
+    work = work_dir(spark, "near")
+    rows, names = located(docs, work)
     id_col, text_col = names[id_col], names[text_col]
     place = rows.schema["_at"].dataType.simpleString()
     kind = rows.schema[id_col].dataType.simpleString()
@@ -214,6 +217,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tied = components(alike.unionByName(linked))
     member = tied.select(F.col("a").alias("uid"), F.col("b").alias("root")).unionByName(tied.select(F.col("b").alias("uid"), F.col("b").alias("root")).distinct())
     placed = settle(sketch.select("uid", "id", "_at").join(member, "uid"))
-    least = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_at")).alias("least"))
-    dropped = settle(placed.join(least, "root").where(F.col("_at") != F.col("least._at")).select("_at"))
-    return restored(rows.join(small_enough(dropped), "_at", "left_anti"), names)
+    least = settle(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_at")).alias("least"), F.count(F.lit(1)).alias("n")))
+    met = spread_join(placed, least.drop("n"), "root", ["uid"], "inner", least.select("root", "n"))
+    dropped = settle(met.where(F.col("_at") != F.col("least._at")).select("_at"))
+    return released(restored(rows.join(small_enough(dropped), "_at", "left_anti"), names), work)

@@ -11,7 +11,8 @@ through the 65 fingerprints within one bit of each (two within two bits share su
 exact as well and linear in the members.
 
 Defined results: null and blank texts have fingerprint zero, which links like any other; a null
-identifier is ignored in a component's least unless all are null; repeated rows give repeated rows.
+identifier is ignored in a component's least unless all are null; repeated rows give repeated rows; very long texts
+are shingled whole, in blocks; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import located, restored, salted_left_join, settle, small_batches, small_enough, work_dir
+from .runtime import located, released, restored, settle, small_batches, small_enough, spread_join, work_dir
 
 SHINGLE = 3
 SEED = 42
@@ -96,8 +97,8 @@ def _near(a: str, b: str, radius: int) -> Column:
 def links(fps: DataFrame, dense: int = 64) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of ``fps`` (fp: distinct) at most two bits apart."""
     table = distance_table(fps)
-    shared = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = settle(table.join(shared, "key"))
+    shared = settle(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    met = settle(spread_join(table, shared, "key", ["fp"], "inner", shared))
     light, heavy = met.filter(F.col("n") <= dense).drop("n"), met.filter(F.col("n") > dense)
     a, b = light.select("key", F.col("fp").alias("a"), F.col("far").alias("fa")), light.select(F.col("key").alias("other"), F.col("fp").alias("b"), F.col("far").alias("fb"))
     true = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
@@ -129,9 +130,9 @@ def _resolve(rows: DataFrame, dense: int) -> DataFrame:
     tied = components(links(fps.select("fp"), dense))
     in_component = tied.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(tied.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
     linked = fps.join(in_component, "fp", "left").filter((F.col("n") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "fp"))
-    by_root = linked.groupBy("root").agg(F.min("least").alias("least"))
-    lookup = linked.select("fp", "root").join(by_root, "root").select("fp", "least")
-    return salted_left_join(rows, settle(lookup), "fp")
+    by_root = settle(linked.groupBy("root").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("n")))
+    lookup = spread_join(linked.select("fp", "root"), by_root.drop("n"), "root", ["fp"], "inner", by_root.select("root", "n")).select("fp", "least")
+    return spread_join(rows, settle(lookup), "fp", rows.columns, sizes=fps.select("fp", "n"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = 64) -> DataFrame:
@@ -146,4 +147,4 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     rows, names = located(docs, work)
     found = _resolve(simhash_rows(rows, names[id_col], names[text_col], "_at"), dense)
     dropped = settle(found.filter(F.col("_at") != F.col("least._at")).select("_at"))
-    return restored(rows.join(small_enough(dropped), "_at", "left_anti"), names)
+    return released(restored(rows.join(small_enough(dropped), "_at", "left_anti"), names), work)

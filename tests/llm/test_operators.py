@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from perigee.llm import media, packing, pii, sentencepiece, url_filter, warc
 from perigee.llm.quality import drop_poor, judge_quality
-from perigee.llm.runtime import remove, salted_left_join, work_dir
+from perigee.llm import runtime
+from perigee.llm.runtime import remove, settle, spread_join, work_dir
 
 ODD = [(1, None), (2, ""), (None, "null id"), (3, "é 😀 " * 50), (3, "é 😀 " * 50), (4, "w" * 200_000), (5, "one two\n three's 12 ²")]
 
@@ -321,7 +322,39 @@ def test_many_values_become_a_wildcard(spark):
     assert [r.template for r in got] == ["/u/*/about"]
 
 
-def test_salted_join_with_a_hot_key(spark):
-    rows = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
-    out = salted_left_join(rows, spark.createDataFrame([(7, "x"), (9, "y")], "k long, v string"), "k")
-    assert out.count() == 1000 and out.where("v = 'x'").count() == rows.where("k = 7").count()
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_join_with_a_hot_key(spark, monkeypatch, most):
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", most)
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).when(F.col("id") % 2 > 0, F.col("id")).alias("k"), "id")
+    lookup = settle(spark.createDataFrame([(7, "x"), (9, "y")], "k long, v string"))
+    out = spread_join(rows, lookup, "k", ["id"])
+    assert out.columns == ["k", "id", "v"] and out.count() == 1000 and out.where("v = 'x'").count() == rows.where("k = 7").count() and out.where("v = 'y'").count() == 1
+    assert spread_join(rows, lookup, "k", ["id"], "inner").count() == rows.where("k IN (7, 9)").count()
+    if not most:
+        hot = runtime.hot_keys(rows.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n")), "k", 4).collect()
+        assert [(r["_hot"], r["_copies"]) for r in hot] == [(7, 11)]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Conf:
+        get = staticmethod(lambda name: None)
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: Conf)
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class S:
+                    @staticmethod
+                    def getCheckpointDir():
+                        class O:
+                            isEmpty = staticmethod(lambda: True)
+
+                        return O
+
+                return S
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.ensure_checkpoint_dir(type("Session", (), {"sparkContext": Context}))
