@@ -10,7 +10,7 @@ response and the others are revisits of it.
 
 Defined results: a null payload counts as empty; a null identifier is below every other; records that share
 the largest identifier and payload are all responses; a null URL has no target header; an empty
-table makes a directory without files.
+table makes a directory without files; a payload of any length is one record, held whole by its task alone.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import datasource as ds
 
 from .media import _Written, open_dir
-from .runtime import own, remove, salted_left_join, settle, work_dir
+from .runtime import own, remove, settle, spread_join, work_dir
 
 SCHEMA = "warc_type string, record_id string, target_uri string, page_id long, payload_digest string, payload_bytes long, refers_to long, payload binary"
 _HEADER_COLUMNS = {"warc_type", "record_id", "target_uri", "page_id", "payload_digest", "payload_bytes", "refers_to"}
@@ -231,9 +231,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     payload = F.encode(own(html_col), "UTF-8")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     keyed = rows.withColumn("same", F.when(F.col("payload_bytes") >= least, F.sha2("payload", 256)))
-    # Digests that occur more than once are few; the pages are met with them by salted keys.
-    shared = keyed.filter("same IS NOT NULL").groupBy("same").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    told = salted_left_join(keyed, settle(shared), "same")
+    # Only digests that occur more than once meet the pages; few of them are broadcast and payloads stay where they are.
+    shared = settle(keyed.filter("same IS NOT NULL").groupBy("same").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    told = spread_join(keyed, shared.drop("n"), "same", ["page_id", "url"], sizes=shared.select("same", "n"))
     revisit = F.coalesce(F.col("newest").isNotNull() & ~F.col("newest").eqNullSafe(F.col("page_id")), F.lit(False))
     told.select(
         "page_id",
@@ -253,20 +253,22 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages``, read them back and describe each record; digests of responses are of what was read."""
+    """Write ``pages``, read them back and describe each record.
+
+    Responses and revisits are read apart, each by its pushed-down record type: digests of responses are of the
+    payloads that were read, those of revisits, which have none, come from their headers.
+    """
     spark = pages.sparkSession
     path = work_dir(spark, "warc")
     write_warc(pages, path)
-    read = read_warc(spark, path)
-    out = settle(
-        read.select(
-            "page_id",
-            F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes")).alias("payload_bytes"),
-            F.coalesce(F.sha1("payload"), F.col("payload_digest")).alias("payload_digest"),
-            F.col("warc_type").alias("record_type"),
-            "refers_to",
-            "target_uri",
-        )
-    )
+    out = settle(described_records(spark, path))
     remove(spark, path)
     return out
+
+
+def described_records(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri of all records below ``path``."""
+    responses = read_warc(spark, path).where("warc_type = 'response'").withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
+    revisits = read_warc(spark, path, payload=False).where("warc_type = 'revisit'")
+    columns = ["page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to", "target_uri"]
+    return responses.select(*columns).unionByName(revisits.select(*columns))
