@@ -8,7 +8,8 @@ entry of the plan, so the plan is bounded by ``capacity`` as well. Pieces are nu
 gathering a length's pieces anywhere, and find their sequence by binary search in the plan.
 
 Defined results: a null text counts as empty and yields the end token alone; null identifiers and repeated
-rows are packed like any other; an empty table gives an empty result.
+rows are packed like any other; a text over the capacity is cut into pieces, its ids held whole by its task alone; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -129,18 +130,18 @@ def _cut(path: str, capacity: int):
 
 
 class _Sums:
-    """Which lengths are left, and which sums two of them have (kept up to date lazily: lengths only vanish)."""
+    """Which lengths are left, and which sums two or three of them have (brought up to date lazily: lengths only vanish)."""
 
     def __init__(self, left: np.ndarray):
         self.left, self.stale = left, 99
-        self.pairs = np.zeros(0, bool)
+        self.pairs = self.triples = np.zeros(0, bool)
 
     def _refresh(self) -> None:
-        if self.stale >= 16:
-            have = (self.left > 0).astype(float)
-            n = 2 * len(have)
-            spectrum = np.fft.rfft(have, n)
-            self.pairs, self.stale = np.fft.irfft(spectrum * spectrum, n) > 0.5, 0
+        have = (self.left > 0).astype(float)
+        n = 4 * len(have)
+        spectrum = np.fft.rfft(have, n)
+        self.pairs, self.triples = (np.fft.irfft(spectrum**k, n) > 0.5 for k in (2, 3))
+        self.stale = 0
 
     def times(self, lengths: tuple[int, ...]) -> int:
         """How often a combination can be taken."""
@@ -148,26 +149,38 @@ class _Sums:
 
     def pair(self, gap: int, others: tuple[int, ...]) -> tuple[int, ...] | None:
         a = np.arange(gap - 1, (gap - 1) // 2, -1)
-        for x in a[(self.left[a] > 0) & (self.left[gap - a] > 0)][:8]:
+        for x in a[(self.left[a] > 0) & (self.left[gap - a] > 0)]:
             if self.times(found := (*others, int(x), gap - int(x))):
                 return found
         return None
 
+    def triple(self, gap: int, length: int) -> tuple[int, ...] | None:
+        """``length`` and three more that fill the gap. A sum that has vanished since the last look brings the index up to date."""
+        top = gap - 2
+        while self.triples[gap]:
+            c = np.arange(top, 0, -1)
+            for x in c[(self.left[c] > 0) & self.pairs[gap - c]]:
+                if found := self.pair(gap - int(x), (length, int(x))):
+                    return found
+                if self.stale:
+                    top = int(x) - 1
+                    break
+            else:
+                return None
+            self._refresh()
+        return None
+
     def exact(self, length: int, capacity: int) -> tuple[int, ...] | None:
         gap = capacity - length
         if gap == 0:
             return (length,)
         if self.left[gap] and self.times((length, gap)):
             return length, gap
-        if gap >= 2 and (found := self.pair(gap, (length,))):
-            return found
-        if gap >= 3:
+        if self.stale >= 16:
             self._refresh()
-            c = np.arange(gap - 2, 0, -1)
-            for x in c[(self.left[c] > 0) & self.pairs[gap - c]][:64]:
-                if found := self.pair(gap - int(x), (length, int(x))):
-                    return found
-        return None
+        if gap >= 2 and self.pairs[gap] and (found := self.pair(gap, (length,))):
+            return found
+        return self.triple(gap, length) if gap >= 3 else None
 
     def take(self, need: dict[int, int]) -> int:
         times = int(min(self.left[x] // k for x, k in need.items()))
