@@ -1,16 +1,19 @@
 """Personal data by candidate gradient boosting, with DataFrame functions only.
 
 Base kinds (email, ip, card, phone) are patterns with checks and always stay. High-recall generators
-propose further, overlapping candidates; each is described by a 19-bit code of its format and context. Over the whole
-corpus the codes are counted by whether the candidate meets a checked base span: a table of at most
-2**20 numbers, whatever the corpus, on which the driver fits boosted trees. One half of the documents (by hash)
-trains them, the other calibrates for each generator the threshold that reaches the wanted precision.
-Trees and thresholds go back into the plan as expressions on the code.
+propose further, overlapping candidates; each is described by a 17-bit code of its format and context, without the
+signs that the base patterns ask for (a plus, a dot in the domain). Over the whole corpus the codes are counted by kind of
+candidate: positive, as it meets a checked base span; negative, as nothing introduces it and it can't be what its generator
+looks for (too few or too many digits, a wrong check digit, letters on either side, no domain, not four parts). All others are
+open: the trees haven't seen them and decide them. The counts are a table of at most 2**18 rows, whatever the corpus,
+on which the driver fits boosted trees. One half of the documents (by hash) trains them, the other calibrates for each
+generator the threshold that reaches the wanted precision. Trees and thresholds go back into the plan as expressions on the code.
 
 Positions are code points: a text is split at the matches, and what lies before a match is summed up.
 
 Defined results: null texts count as empty, with no spans and the digest of the empty string; null identifiers and
-repeated rows are kept as they are; an empty table, or one without candidates, adds no spans.
+repeated rows are kept as they are; very long texts and very long candidates are taken whole; an empty table, or one
+without candidates, adds no spans.
 """
 
 from __future__ import annotations
@@ -34,15 +37,18 @@ _BASE = (
 )
 _HINT = ("@", r"[0-9]\.[0-9]", r"[0-9][\x20-]?[0-9]", r"\+[0-9]")
 GENERATORS = ("handle", "number", "dotted")
+#: No length is bounded; what is possessive can't be tried again, so that long runs take linear time.
 _PROPOSE = (
-    r"(?<![^\s@<>()\x22',;])[^\s@<>()\x22',;]{1,64}+@[^\s@<>()\x22',;]{1,255}+",
-    r"[+(]?+[0-9][0-9()\x20.-]{5,30}[0-9]",
-    r"(?<![0-9])[0-9]++(?:\.[0-9]++){2,7}+",
+    r"(?<![^\s@<>()\x22',;])[^\s@<>()\x22',;]++@[^\s@<>()\x22',;]++",
+    r"(?<![0-9])[+(]?+[0-9]++(?:[()\x20.-]{1,3}+[0-9]++)*+",
+    r"(?<![0-9])[0-9]++(?:\.[0-9]++){2,}+",
 )
 _PROPOSE_HINT = ("@", r"[0-9][0-9()\x20.-]{5}", r"[0-9]\.[0-9]")
+#: Digits below which a number isn't proposed.
+_DIGITS = 7
 _CUES = r"(?i)(phone|tel|call|mobile|fax|mail|contact|write|reach|card|visa|address|host|server|login|user|ip)[^\p{L}]*$"
 #: Field: (first bit, bits).
-_FIELDS = {"generator": (0, 2), "digits": (2, 3), "domain": (5, 1), "dots": (6, 3), "space": (9, 1), "dash": (10, 1), "bracket": (11, 1), "plus": (12, 1), "letters": (13, 2), "before": (15, 2), "cue": (17, 1), "after": (18, 1)}
+_FIELDS = {"generator": (0, 2), "digits": (2, 3), "dots": (5, 3), "space": (8, 1), "dash": (9, 1), "bracket": (10, 1), "letters": (11, 2), "before": (13, 2), "cue": (15, 1), "after": (16, 1)}
 
 
 def matches(text: Column, pattern: str, hint: str) -> Column:
@@ -93,33 +99,47 @@ def _put(**fields: Column) -> Column:
     return code
 
 
+def _impossible(g: int, m: Column, digits: Column) -> Column:
+    """Whether a candidate that nothing introduces can't be what its generator looks for."""
+    n = F.length(digits)
+    if g == 0:
+        return ~m.rlike(r"@[^.]+\.[^.]")
+    if g == 1:
+        checked = n.between(12, 19) & ~F.startswith(m, F.lit("+"))
+        return (n < 9) | (n > 19) | (checked & ~F.call_function("luhn_check", digits))
+    return (F.length(F.regexp_replace(m, r"[^.]", "")) != 3) | ~_valid(1, m)
+
+
 def candidates(text: Column, base: Column) -> Column:
-    """array<struct<s, k, e, code, hit>>: all proposals; ``hit``: it meets a base span."""
+    """array<struct<s, k, e, code, hit, miss>>: all proposals; ``hit``: it meets a base span, ``miss``: it can't be right."""
 
     def proposed(g: int) -> Column:
         def describe(x: Column) -> Column:
             m, s, e = x["m"], x["s"], x["e"]
-            digits, letters = F.length(_digits(m)), F.length(F.regexp_replace(m, r"[^\p{L}]", ""))
-            before = F.substring(text, F.greatest(s - 23, F.lit(1)), F.least(s, F.lit(24)))
-            last = F.right(before, F.lit(1))
+            digits = _digits(m)
+            n, letters = F.length(digits), F.length(F.regexp_replace(m, r"[^\p{L}]", ""))
+            around = F.substring(text, F.greatest(s - 23, F.lit(1)), F.least(s, F.lit(24)))
+            last = F.right(around, F.lit(1))
+            cue, after = around.rlike(_CUES), F.substring(text, e + 1, F.lit(1)).rlike(r"[\p{L}0-9]")
+            before = F.when(s == 0, 0).when(last.rlike(r"[\p{L}0-9]"), 2).when(last.rlike(r"\s"), 0).when(last.isin(":", "=", '"', "<", "("), 1).otherwise(3)
             code = _put(
                 generator=F.lit(g),
-                digits=F.when(digits == 0, 0).when(digits < 7, 1).when(digits < 9, 2).when(digits == 9, 3).when(digits == 10, 4).when(digits < 13, 5).when(digits < 16, 6).otherwise(7),
-                domain=m.rlike(r"@[A-Za-z0-9-]+\.[A-Za-z0-9-]"),
+                digits=F.when(n == 0, 0).when(n < 7, 1).when(n < 9, 2).when(n == 9, 3).when(n == 10, 4).when(n < 13, 5).when(n < 16, 6).otherwise(7),
                 dots=F.least(F.length(F.regexp_replace(m, r"[^.]", "")), F.lit(7)),
                 space=F.contains(m, F.lit(" ")),
                 dash=F.contains(m, F.lit("-")),
                 bracket=F.contains(m, F.lit("(")),
-                plus=F.startswith(m, F.lit("+")),
                 letters=F.when(letters == 0, 0).when(letters < 4, 1).when(letters < 12, 2).otherwise(3),
-                before=F.when(s == 0, 0).when(last.rlike(r"[\p{L}0-9]"), 2).when(last.rlike(r"\s"), 0).when(last.isin(":", "=", '"', "<", "("), 1).otherwise(3),
-                cue=before.rlike(_CUES),
-                after=F.substring(text, e + 1, F.lit(1)).rlike(r"[\p{L}0-9]"),
+                before=before,
+                cue=cue,
+                after=after,
             )
             hit = F.exists(base, lambda b: (b["s"] < e) & (b["e"] > s))
-            return F.struct(s.alias("s"), F.lit(len(KINDS) + g).alias("k"), e.alias("e"), code.alias("code"), hit.alias("hit"))
+            miss = ~hit & ~cue & (_impossible(g, m, digits) | (before == 2) | after)
+            return F.struct(s.alias("s"), F.lit(len(KINDS) + g).alias("k"), e.alias("e"), code.alias("code"), hit.alias("hit"), miss.alias("miss"))
 
-        return F.transform(matches(text, _PROPOSE[g], _PROPOSE_HINT[g]), describe)
+        found = matches(text, _PROPOSE[g], _PROPOSE_HINT[g])
+        return F.transform(F.filter(found, lambda x: F.length(_digits(x["m"])) >= _DIGITS) if g == 1 else found, describe)
 
     return F.concat(*(proposed(g) for g in range(len(GENERATORS))))
 
@@ -171,8 +191,8 @@ def _split(table: dict[str, np.ndarray], grad: np.ndarray, hess: np.ndarray, row
 def boost(codes: np.ndarray, hits: np.ndarray, misses: np.ndarray, train: np.ndarray, rounds: int = 24, rate: float = 0.3, ridge: float = 1.0, precision: float = 0.95) -> Boosted:
     """Newton boosting on counts by code; ``train``: rows to fit, the others calibrate the thresholds.
 
-    A threshold is the least score at which accepted held-out candidates meet base spans with ``precision``, smoothed by
-    one miss; a generator that never reaches it accepts nothing.
+    A threshold is the least score at which accepted held-out candidates are hits with ``precision``, smoothed by one miss;
+    a generator that never reaches it accepts nothing.
     """
     table = {name: (codes >> at) & (2**bits - 1) for name, (at, bits) in _FIELDS.items()}
     n, pos = np.where(train, hits + misses, 0).astype(float), np.where(train, hits, 0).astype(float)
@@ -201,11 +221,11 @@ def boost(codes: np.ndarray, hits: np.ndarray, misses: np.ndarray, train: np.nda
     return Boosted(bias, tuple(trees), tuple(thresholds))
 
 
-def fit(scanned: DataFrame, **options: float) -> Boosted:
-    """Count the codes of all candidates and boost on the counts."""
-    half = F.pmod(F.xxhash64("id"), F.lit(2)).alias("half")
-    counts = scanned.select(half, F.explode("_more").alias("c")).groupBy("half", "c.code").agg(F.count_if("c.hit").alias("hits"), F.count_if(~F.col("c.hit")).alias("misses"))
-    rows = np.array([tuple(r) for r in counts.toLocalIterator()], np.int64).reshape(-1, 4)  # at most 2**20
+def fit(scanned: DataFrame, by: str = "id", **options: float) -> Boosted:
+    """Count the codes of all candidates and boost on the counts; ``by`` halves the documents."""
+    half = F.pmod(F.xxhash64(by), F.lit(2)).alias("half")
+    counts = scanned.select(half, F.explode("_more").alias("c")).groupBy("half", "c.code").agg(F.count_if("c.hit").alias("hits"), F.count_if("c.miss").alias("misses"))
+    rows = np.array([tuple(r) for r in counts.toLocalIterator()], np.int64).reshape(-1, 4)  # at most 2**18
     rows = rows[np.lexsort((rows[:, 0], rows[:, 1]))]
     return boost(rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 0] == 0, **options)
 
@@ -216,8 +236,8 @@ def _joined(spans: Column) -> Column:
 
 
 def all_spans(model: Boosted) -> Column:
-    """Base spans and accepted proposals that meet none of them, by start and kind."""
-    added = F.filter("_more", lambda x: ~x["hit"] & model.accepts(x))
+    """Base spans and accepted open proposals, which meet none of them, by start and kind."""
+    added = F.filter("_more", lambda x: ~x["hit"] & ~x["miss"] & model.accepts(x))
     return F.array_sort(F.concat("_base", F.transform(added, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))))
 
 
@@ -235,12 +255,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span of its texts replaced by the kind in brackets; overlapping spans give one."""
-    model = fit(settle(scan(docs, id_col, text_col)))
     kinds = F.array(*(F.lit(f"[{x.upper()}]") for x in (*KINDS, *GENERATORS)))
     columns, names = shielded(docs)
     text_col = names[text_col]
     rows = docs.select(*columns).withColumn("_base", F.array_sort(F.concat(*base_spans(own(text_col)))))
-    rows = rows.withColumn("_more", candidates(own(text_col), F.col("_base"))).withColumn("_all", all_spans(model))
+    rows = settle(rows.withColumn("_more", candidates(own(text_col), F.col("_base"))))  # texts are searched once
+    rows = rows.withColumn("_all", all_spans(fit(rows, names[id_col])))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
