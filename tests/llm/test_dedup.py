@@ -143,7 +143,7 @@ def brute_repeats(rows, length=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_runs": 3}, {"held_keys": 50, "held_runs": 20, "sort_bytes": 500}, {"chunk": 64, "ranges": 3, "spill_bytes": 1000}])
+@pytest.mark.parametrize("options", [{}, {"hot_runs": 3}, {"held_keys": 50, "held_runs": 20}, {"chunk": 64, "ranges": 3, "memory": 1000}])
 def test_substring_dedup(spark, options):
     rng = random.Random(2)
     rows = [(1, None), (2, ""), (None, "q" * 200), (3, "q" * 120), (3, "q" * 70), (4, "ab" * 100), (5, "x" * 49), (6, "x" * 50), (7, "x" * 50)]
@@ -161,18 +161,17 @@ def test_kept_bytes_are_returned(spark):
     assert got == {1: b"k" * 60, 2: b"head  tail"}
 
 
-@pytest.mark.parametrize("block,names,limit", [(1 << 18, 512, 256 << 20), (16, 3, 200)])
-def test_induced_order_and_prefixes(monkeypatch, block, names, limit):
+@pytest.mark.parametrize("block,per_range,limit", [(1 << 18, 1 << 13, 256 << 20), (16, 1, 200), (3, 8, 0), (64, 2, 5000)])
+def test_induced_order_and_prefixes(monkeypatch, block, per_range, limit):
     monkeypatch.setattr(induced, "BLOCK", block)
-    monkeypatch.setattr(induced, "NAMES", names)
+    monkeypatch.setattr(induced, "RANGE", per_range)
     rng = np.random.default_rng(0)
     for trial in range(60):
         a = int(rng.integers(1, 6))
         t = rng.integers(1, a + 1, int(rng.integers(1, 300)))
         t = np.r_[np.tile(t[: max(1, len(t) // 7)], 7) if trial % 3 == 0 else t, 0]
-        cap, spill = int(rng.integers(1, 60)), induced.Spill(limit)
-        order, lcp = induced.sort_suffixes(t, a + 1, cap, spill)
-        spill.close()
+        cap = int(rng.integers(1, 60))
+        order, lcp = induced.sort_suffixes(t, a + 1, cap, limit)
         assert sorted(order.tolist()) == list(range(len(t)))
         for i in range(1, len(order)):
             x, y = t[order[i - 1] :][:cap].tolist(), t[order[i] :][:cap].tolist()
@@ -180,6 +179,60 @@ def test_induced_order_and_prefixes(monkeypatch, block, names, limit):
             assert x <= y and lcp[i] == same
 
 
+def test_a_shard_larger_than_memory_spills_and_recurses(monkeypatch):
+    """A shard of 400 KB with 64 KB of memory: it goes to files, its reduced text is sorted by induction again, and removals are right."""
+    import tracemalloc
+
+    from perigee.llm import substring_dedup as sd
+
+    monkeypatch.setattr(induced, "BLOCK", 1 << 12)
+    monkeypatch.setattr(induced, "RANGE", 1 << 11)
+    monkeypatch.setattr(sd, "BLOCK", 1 << 12)
+    depth, deepest, true = [0], [0], induced._reduced_order
+
+    def counted(*args):
+        depth[0] += 1
+        deepest[0] = max(deepest[0], depth[0])
+        try:
+            return true(*args)
+        finally:
+            depth[0] -= 1
+
+    monkeypatch.setattr(induced, "_reduced_order", counted)
+    rng = np.random.default_rng(4)
+    shard = sd._Shard(sd.Options(memory=64 << 10))
+    pool, rows, total = rng.integers(97, 101, 4000, dtype=np.uint8).tobytes(), [], 0
+    for task in range(20):
+        runs = []
+        for k in range(120):
+            i = int(rng.integers(0, 3900))
+            runs.append(pool[i : i + 50 + int(rng.integers(0, 50))] if k % 3 == 0 else rng.integers(97, 123, 50 + int(rng.integers(0, 300)), dtype=np.uint8).tobytes())
+        runs = list(dict.fromkeys(runs))
+        low = rng.integers(0, 1000, len(runs))
+        rows += [(task, k, int(x), r) for k, (x, r) in enumerate(zip(low, runs))]
+        total += sum(map(len, runs))
+        places = np.array([[k, 0] for k in range(len(runs))], np.int64)
+        shard.add(task, sd._pack((b"".join(runs), np.array([len(r) for r in runs], np.int32), np.zeros(len(runs), np.uint32), low.astype(np.int64), np.ones(len(runs), np.int32), places)))
+    sd._row(0, 0, 0, None).to_pandas()  # what this imports doesn't count
+    tracemalloc.start()
+    out = list(shard.decide())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = [(t, tuple(x)) for b in out for t, blob in zip(b.column("task").to_pylist(), b.column("blob").to_pylist()) for x in sd._unpack(blob).tolist()]
+    assert total > 300_000 and shard.scratch.written > 10 * total and deepest[0] > 1 and peak < 3 * total
+    shard.scratch.close()
+    first = {}
+    for _, _, d, r in rows:
+        for k in range(len(r) - 49):
+            first[r[k : k + 50]] = min(d, first.get(r[k : k + 50], d))
+    gone = {}
+    for t, (row, a, b) in got:
+        gone.setdefault((t, row), set()).update(range(a, b))
+    for t, k, d, r in rows:
+        want = {j for i in range(len(r) - 49) if first[r[i : i + 50]] < d for j in range(i, i + 50)}
+        assert gone.get((t, k), set()) == want
+
+
 def test_whole_small_table(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()]
