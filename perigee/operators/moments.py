@@ -1,7 +1,7 @@
 """Least squares with expressions only: moments by one grouped aggregation, then an unrolled Cholesky solution.
 
 For models of few columns this needs no Python at all; sums are combined before the shuffle, so a series may be
-of any length. The generated expressions are plain arithmetic and run as such in other SQL engines too.
+of any length. For comparison :func:`gauss_sql` states the same fits for another engine by another route.
 """
 
 from __future__ import annotations
@@ -49,15 +49,21 @@ def solve_by_moments(design: DataFrame, key: str, columns: list[str], targets: l
     return table.select(key, "n_obs", *(f"b_{i}_{t}" for i in range(p) for t in range(len(targets))), *more)
 
 
-def moments_sql(source: str, key: str, columns: list[str], targets: list[str]) -> str:
-    """The same as a chain of common table expressions, ending in one named ``solved``."""
-    p = len(columns)
-    chain = [f"moments AS (SELECT {key}, {', '.join(moment_expressions(columns, targets))} FROM {source} GROUP BY {key} HAVING COUNT(*) > {p})"]
-    before = "moments"
-    for i, step in enumerate(solution_steps(p, len(targets))):
-        chain.append(f"step{i} AS (SELECT *, {', '.join(f'{text} AS {name}' for name, text in step)} FROM {before})")
-        before = f"step{i}"
-    return ",\n".join([*chain, f"solved AS (SELECT * FROM {before})"])
+def gauss_sql(source: str, key: str, columns: list[str], targets: list[str]) -> str:
+    """The same fits for another engine and by another route: normal equations as lists of rows, with the right-hand sides
+    and the unit matrix beside them, brought to the unit matrix by Gauss-Jordan steps. Ends in a table ``solved``."""
+    p, right = len(columns), len(columns) + len(targets)
+    rows = [f"[{', '.join([f'SUM({a} * {b})' for b in [*columns, *targets]] + [f'{float(i == j)}::DOUBLE' for j in range(p)])}]" for i, a in enumerate(columns)]
+    chain = [f"m0 AS (SELECT {key}, COUNT(*) AS n_obs, [{', '.join(f'SUM({y} * {y})' for y in targets)}] AS yy, [{', '.join(rows)}] AS m FROM {source} GROUP BY {key} HAVING COUNT(*) > {p})"]
+    for k in range(1, p + 1):
+        turned = f"list_transform(m, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda x: x / q[{k}]) ELSE list_transform(r, lambda x, j: x - r[{k}] * q[j] / q[{k}]) END)"
+        chain.append(f"m{k} AS (SELECT {key}, n_obs, yy, {turned} AS m FROM (SELECT *, m[{k}] AS q FROM m{k - 1}))")
+    b = [f"z.m[{i + 1}][{p + t + 1}] AS b_{i}_{t}" for i in range(p) for t in range(len(targets))]
+    v = [f"z.m[{i + 1}][{right + i + 1}] AS v_{i}" for i in range(p)]
+    explained = lambda t: " + ".join(f"z.m[{i + 1}][{p + t + 1}] * a.m[{i + 1}][{p + t + 1}]" for i in range(p))
+    noise = [f"(z.yy[{t + 1}] - ({explained(t)})) / (z.n_obs - {p}) AS noise_{t}" for t in range(len(targets))]
+    chain.append(f"solved AS (SELECT z.{key}, z.n_obs, {', '.join([*b, *v, *noise])} FROM m{p} z JOIN m0 a ON z.{key} = a.{key})")
+    return ",\n".join(chain)
 
 
 def _expr(text: str):

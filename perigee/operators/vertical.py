@@ -6,15 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def layer_depths(mesh: DataFrame, sigma: DataFrame, bathymetry: DataFrame, surface: DataFrame) -> DataFrame:
+def only_wet(rows: DataFrame, wet: DataFrame) -> DataFrame:
+    """``rows`` (mjd, element_id, ...) without those of elements that ``wet`` (mjd, element_id, wet 0 or 1) doesn't say to be wet then."""
+    return rows.join(wet.where("wet = 1").select("mjd", "element_id"), ["mjd", "element_id"], "left_semi")
+
+
+def layer_depths(mesh: DataFrame, sigma: DataFrame, bathymetry: DataFrame, surface: DataFrame, wet: DataFrame | None = None) -> DataFrame:
     """mjd, element_id, layer, depth: mean over an element's three nodes of -sigma (h + zeta); all three must be known.
 
     ``mesh`` (element_id, node_ids), ``sigma`` (layer, node_id, sigma), ``bathymetry`` (node_id, h), ``surface`` (mjd, node_id, zeta).
+    With ``wet`` (mjd, element_id, wet) an element has layers at the times only at which it is wet.
     """
     corners = mesh.select("element_id", F.explode("node_ids").alias("node_id"))
     column = corners.join(bathymetry, "node_id").join(sigma, "node_id").join(surface, "node_id")
     depth = -F.col("sigma") * (F.col("h") + F.col("zeta"))
-    return column.groupBy("mjd", "element_id", "layer").agg(F.avg(depth).alias("depth"), F.count(depth).alias("corners")).where("corners = 3").drop("corners")
+    depths = column.groupBy("mjd", "element_id", "layer").agg(F.avg(depth).alias("depth"), F.count(depth).alias("corners")).where("corners = 3").drop("corners")
+    return depths if wet is None else only_wet(depths, wet)
 
 
 def to_depths(layers: DataFrame, depths: list[float], keys: tuple[str, ...] = ("mjd", "element_id"), values: tuple[str, ...] = ("u", "v")) -> DataFrame:

@@ -82,10 +82,10 @@ def split_times(spark, sf_dir):
     return parts.select("event_id", _r(split_time(fill=-1)).alias("mjd"))
 
 
-@query(f"WITH {OBS} SELECT series_id, {_s('mjd')} AS mjd, {_s('u')} AS u, v FROM obs WHERE series_id < 20 AND u IS NOT NULL AND v <> 3")
+@query(f"WITH {OBS} SELECT series_id, {_s('mjd')} AS mjd, {_s('u')} AS u, v FROM obs WHERE u IS NOT NULL AND v <> 3")
 def vector_field_scan(spark, sf_dir):
     rows = obs(spark, sf_dir).withColumnsRenamed({"series_id": "element", "u": "ua", "v": "va"})
-    out = vector_field(rows, fill=3.0, prefix=20, time=F.col("mjd"))
+    out = vector_field(rows, fill=3.0, time=F.col("mjd"))
     return out.select("series_id", _r("mjd").alias("mjd"), _r("u").alias("u"), "v")
 
 
@@ -285,7 +285,7 @@ def _design_columns(names, trend):
 
 
 def _fit_sql(names, trend, targets=("u",)):
-    return f"WITH {_raw_sql(names, trend)}, {moments.moments_sql('design', 'series_id', _design_columns(names, trend), list(targets))} "
+    return f"WITH {_raw_sql(names, trend)}, {moments.gauss_sql('design', 'series_id', _design_columns(names, trend), list(targets))} "
 
 
 def _fit_native(spark, sf_dir, names, trend, targets=("u",), errors=False):
@@ -312,16 +312,19 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_fit_trend(spark, sf_dir)
 
 
-def _nodal_design_sql():
+def _nodal_design_sql(names=("M2", "K1"), trend=False, gain=None):
+    """Exact phases and nodal corrections at every time, of series that have each time once."""
     parts = []
-    for i, n in enumerate(("M2", "K1")):
+    for i, n in enumerate(names):
         (re, im), turn = sa.nodal_sql(n, ["", *(f"y{k}" for k in range(1, 6))], ["1.0::DOUBLE", "f1", "f2"]), f"{2 * math.pi!r}::DOUBLE * " + sa.phase_sql(n, [f"y{k}" for k in range(6)])
-        parts.append(f"{re} * COS({turn}) - {im} * SIN({turn}) AS c{i}, {re} * SIN({turn}) + {im} * COS({turn}) AS s{i}")
+        g = f"{gain(n)} * " if gain else ""
+        parts.append(f"{g}({re} * COS({turn}) - {im} * SIN({turn})) AS c{i}, {g}({re} * SIN({turn}) + {im} * COS({turn})) AS s{i}")
     f = sa.factor_sql("lat")
-    return f"{OBS}, angled AS (SELECT *, {', '.join(f'{c} AS y{k}' for k, c in enumerate(_CYC))}, {f[1]} AS f1, {f[2]} AS f2 FROM obs), design AS (SELECT *, {', '.join(parts)}, 1.0::DOUBLE AS one FROM angled)"
+    once = "timed AS (SELECT obs.*, reference_mjd, mjd - reference_mjd AS dt, span_days AS span FROM obs JOIN sampled USING (series_id) WHERE series_id NOT IN (SELECT series_id FROM obs GROUP BY series_id, mjd HAVING COUNT(*) > 1))"
+    return f"{OBS}, {SAMPLED}, {once}, angled AS (SELECT *, {', '.join(f'{c} AS y{k}' for k, c in enumerate(_CYC))}, {f[1]} AS f1, {f[2]} AS f2 FROM timed), design AS (SELECT *, {', '.join(parts)}, 1.0::DOUBLE AS one{', dt / span AS tr' if trend else ''} FROM angled)"
 
 
-@query(f"WITH {_nodal_design_sql()}, {moments.moments_sql('design', 'series_id', ['c0', 's0', 'c1', 's1', 'one'], ['u'])} SELECT series_id, {_s('b_0_0', 5)} AS cos_M2, {_s('b_1_0', 5)} AS sin_M2, {_s('b_2_0', 5)} AS cos_K1, {_s('b_3_0', 5)} AS sin_K1, {_s('b_4_0', 5)} AS mean FROM solved")
+@query(f"WITH {_nodal_design_sql()}, {moments.gauss_sql('design', 'series_id', ['c0', 's0', 'c1', 's1', 'one'], ['u'])} SELECT series_id, {_s('b_0_0', 5)} AS cos_M2, {_s('b_1_0', 5)} AS sin_M2, {_s('b_2_0', 5)} AS cos_K1, {_s('b_3_0', 5)} AS sin_K1, {_s('b_4_0', 5)} AS mean FROM solved")
 def harmonic_fit_nodal(spark, sf_dir):
     cycles, _ = astronomy.argument_columns(F.col("mjd"))
     rows = obs(spark, sf_dir).withColumns({f"y{k}": c for k, c in enumerate(cycles)} | {f"f{k}": x for k, x in enumerate(astronomy.latitude_factor_columns(F.col("lat")))})
@@ -407,14 +410,12 @@ def inferred_constituents(spark, sf_dir):
     return post.infer(_coef(spark, sf_dir), relations).select("series_id", "name", _r("c", 5).alias("c"), _r("s", 5).alias("s"))
 
 
-_TARGETS = "targets AS (SELECT DISTINCT hour / 24.0::DOUBLE AS mjd FROM hourly WHERE hour % 24 = 0)"
-
+_TARGETS = "targets AS (SELECT DISTINCT hour / 24.0::DOUBLE AS mjd FROM hourly)"
 
-_DAILY = _COEF.replace(f"WITH {OBS}", f"WITH {HOURLY}, {_TARGETS}, {OBS}") + f"SELECT series_id, {_s('mjd')} AS mjd, {_s('SUM(c * COS(' + repr(2 * math.pi * 24) + ' * frequency * (mjd - 60324)) + s * SIN(' + repr(2 * math.pi * 24) + ' * frequency * (mjd - 60324)))', 4)} AS tide FROM coef, targets GROUP BY series_id, mjd"
 
-
-def _reconstructed(spark, sf_dir, hours):
-    targets = hours.select((F.col("hour") / 24.0).alias("mjd")).distinct()
+@query(_COEF.replace(f"WITH {OBS}", f"WITH {HOURLY}, {_TARGETS}, {OBS}") + f"SELECT series_id, {_s('mjd')} AS mjd, {_s('SUM(c * COS(' + repr(2 * math.pi * 24) + ' * frequency * (mjd - 60324)) + s * SIN(' + repr(2 * math.pi * 24) + ' * frequency * (mjd - 60324)))', 4)} AS tide FROM coef, targets GROUP BY series_id, mjd")
+def reconstruct_series(spark, sf_dir):
+    targets = _hours(spark, sf_dir).select("mjd")
     names = spark.createDataFrame([(n, cat.BY_NAME[n].frequency) for n in FIVE], "name string, f double")
     angle = F.lit(2 * math.pi * 24) * F.col("f") * (F.col("mjd") - 60324)
     # Times by five constituents: the basis table, with the few constituents broadcast.
@@ -422,17 +423,6 @@ def _reconstructed(spark, sf_dir, hours):
     return post.evaluate(_coef(spark, sf_dir), basis).select("series_id", _r("mjd").alias("mjd"), _r("tide", 4).alias("tide"))
 
 
-@query(_DAILY)
-def reconstruct_series(spark, sf_dir):
-    return _reconstructed(spark, sf_dir, hourly(spark, sf_dir).where("hour % 24 = 0"))
-
-
-# At every time of the table, not once a day.
-@query(_DAILY.replace(" WHERE hour % 24 = 0", ""))
-def reconstruct_hours(spark, sf_dir):
-    return _reconstructed(spark, sf_dir, hourly(spark, sf_dir))
-
-
 _POINTS = "points AS (SELECT series_id, mjd, u - b_10_0 - b_11_0 * tr AS raw, " + " + ".join(f"b_{2 * i}_0 * c{i} + b_{2 * i + 1}_0 * s{i}" for i in range(5)) + " AS tide FROM design JOIN solved USING (series_id)) "
 
 
@@ -548,22 +538,21 @@ def prefilter_gain(spark, sf_dir):
     return post.prefilter_gain(cat.constituent_table(spark).select("name", "frequency"), response, 0.01, 100.0).select("name", _r("gain").alias("gain"))
 
 
-_MESH = """mesh AS (SELECT p_partkey AS element_id, UNNEST([p_partkey, p_partkey + 1, p_partkey + 2]) AS node_id FROM part WHERE p_partkey % 10 = 1),
+# An element for every part; one is dry at a layer's time if its part's key says so.
+_MESH = """mesh AS (SELECT p_partkey AS element_id, UNNEST([p_partkey, p_partkey + 1, p_partkey + 2]) AS node_id FROM part),
 node AS (SELECT p_partkey AS node_id, 20 + p_retailprice % 10 AS h, (p_size % 5) / 10.0::DOUBLE AS zeta FROM part),
 column_ AS (SELECT element_id, layer, -s * (h + zeta) AS d FROM mesh JOIN node USING (node_id), (VALUES (1, -0.25::DOUBLE), (2, -0.5::DOUBLE), (3, -0.75::DOUBLE)) sigma(layer, s)),
 depths AS (SELECT element_id, layer, AVG(d) AS depth FROM column_ GROUP BY 1, 2 HAVING COUNT(d) = 3)"""
 
 
-_ALL = _MESH.replace(" WHERE p_partkey % 10 = 1", "")
-
-
-def _mesh(spark, sf_dir, whole=False):
+def _mesh(spark, sf_dir, wet=False):
     part = read(spark, sf_dir, "part")
     key = F.col("p_partkey")
-    mesh = (part if whole else part.where(key % 10 == 1)).select(key.alias("element_id"), F.array(key, key + 1, key + 2).alias("node_ids"))
+    mesh = part.select(key.alias("element_id"), F.array(key, key + 1, key + 2).alias("node_ids"))
     nodes = part.select(key.alias("node_id"), (20 + F.col("p_retailprice") % 10).alias("h"), ((F.col("p_size") % 5) / 10.0).alias("zeta"))
     sigma = nodes.select("node_id").crossJoin(F.broadcast(spark.createDataFrame([(1, -0.25), (2, -0.5), (3, -0.75)], "layer int, sigma double")))
-    return vertical.layer_depths(mesh, sigma, nodes.select("node_id", "h"), nodes.select(F.lit(0.0).alias("mjd"), "node_id", "zeta"))
+    mask = part.select(F.lit(0.0).alias("mjd"), key.alias("element_id"), (F.col("p_size") % 4 > 0).cast("int").alias("wet")) if wet else None
+    return vertical.layer_depths(mesh, sigma, nodes.select("node_id", "h"), nodes.select(F.lit(0.0).alias("mjd"), "node_id", "zeta"), mask)
 
 
 @query(f"WITH {_MESH} SELECT element_id, layer, {_s('depth')} AS depth FROM depths")
@@ -571,32 +560,19 @@ def layer_depths(spark, sf_dir):
     return _mesh(spark, sf_dir).select("element_id", "layer", _r("depth").alias("depth"))
 
 
-# Elements of every part row, not of each tenth one.
-@query(f"WITH {_ALL} SELECT element_id, layer, {_s('depth')} AS depth FROM depths")
-def mesh_layer_depths(spark, sf_dir):
-    return _mesh(spark, sf_dir, whole=True).select("element_id", "layer", _r("depth").alias("depth"))
+@query(f"WITH {_MESH} SELECT element_id, layer, {_s('depth')} AS depth FROM depths JOIN part ON element_id = p_partkey WHERE p_size % 4 > 0")
+def wet_layer_depths(spark, sf_dir):
+    return _mesh(spark, sf_dir, wet=True).select("element_id", "layer", _r("depth").alias("depth"))
 
 
-_FIXED = (
+@query(
     f"""WITH {_MESH}, lay AS (SELECT *, element_id % 7 + layer AS u, LEAD(depth) OVER w AS d1, LEAD(element_id % 7 + layer) OVER w AS u1 FROM depths WINDOW w AS (PARTITION BY element_id ORDER BY layer)),
     hit AS (SELECT element_id, target, layer, CASE WHEN target = depth THEN u WHEN target = d1 THEN u1 ELSE u + (target - depth) / (d1 - depth) * (u1 - u) END AS u FROM lay, (VALUES (6.0::DOUBLE), (12.0::DOUBLE), (40.0::DOUBLE)) t(target) WHERE target BETWEEN depth AND COALESCE(d1, depth))
     SELECT element_id, target, {_s('u')} AS u FROM hit QUALIFY ROW_NUMBER() OVER (PARTITION BY element_id, target ORDER BY layer) = 1"""
 )
-
-
-def _interpolated(mesh):
-    layers = mesh.withColumn("u", (F.col("element_id") % 7 + F.col("layer")).cast("double"))
-    return vertical.to_depths(layers, [6.0, 12.0, 40.0], ("element_id",), ("u",)).select("element_id", "target", _r("u").alias("u"))
-
-
-@query(_FIXED)
 def fixed_depths(spark, sf_dir):
-    return _interpolated(_mesh(spark, sf_dir))
-
-
-@query(_FIXED.replace(_MESH, _ALL))
-def mesh_fixed_depths(spark, sf_dir):
-    return _interpolated(_mesh(spark, sf_dir, whole=True))
+    layers = _mesh(spark, sf_dir).withColumn("u", (F.col("element_id") % 7 + F.col("layer")).cast("double"))
+    return vertical.to_depths(layers, [6.0, 12.0, 40.0], ("element_id",), ("u",)).select("element_id", "target", _r("u").alias("u"))
 
 
 # -- the kernel (no SQL: iterative, spectral or drawn) -----------------------------------------------------------------
@@ -611,7 +587,11 @@ def _kernel(spark, sf_dir, v=None, **options):
     return coefficients(fit(rows, FitOptions(**({"constituents": FIVE} | options)), _sites(rows), v=v))
 
 
-@query()
+_KERNEL = f"{moments.gauss_sql('design', 'series_id', _design_columns(FIVE, True), ['u'])}"
+_RANKED = _LONG + f"SELECT series_id, name, {{rank}}{_s('amplitude')} AS amplitude{{pe}} FROM coef"
+
+
+@query(f"WITH {_nodal_design_sql(FIVE, True)}, {_KERNEL}" + _RANKED.format(rank="(ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY pe DESC, constituent_index) - 1)::INTEGER AS rank, ", pe=f", {_s('pe')} AS pe"))
 def fit_ols(spark, sf_dir):
     return _kernel(spark, sf_dir).select("series_id", "name", "rank", _r("amplitude").alias("amplitude"), _r("pe").alias("pe"))
 
@@ -661,7 +641,17 @@ def fit_diagnostics(spark, sf_dir):
     return fit(rows, FitOptions(constituents=FIVE, confidence="linear", noise="white", diagnostics=True), _sites(rows)).select("series_id", *(_r(c, 4).alias(c) for c in ("condition", "snr_all", "tv_raw", "tv_all", "tv_snr", "ptv_all", "ptv_snr")))
 
 
-@query()
+_, _RATE_AT_REFERENCE = sa.argument_sql("reference_mjd")
+
+
+def _gain_sql(name):
+    """The response between its points at the frequency that a constituent has at the reference time, if it is accepted."""
+    f = sa.frequency_sql(name, _RATE_AT_REFERENCE)
+    line = " ".join(f"WHEN {f} BETWEEN {f0} AND {f1} THEN {g0}::DOUBLE + ({g1 - g0!r})::DOUBLE * ({f} - {f0}) / {f1 - f0!r}" for (f0, g0), (f1, g1) in zip(_GRID, _GRID[1:]))
+    return f"(SELECT CASE WHEN ABS(g) BETWEEN 0.01 AND 100 THEN g ELSE 1 END FROM (SELECT CASE {line} END AS g))"
+
+
+@query(f"WITH {_nodal_design_sql(FIVE, True, _gain_sql)}, {_KERNEL}" + _RANKED.format(rank="", pe=""))
 def fit_prefiltered(spark, sf_dir):
     response = PreFilter(tuple(a for a, _ in _GRID), tuple(b for _, b in _GRID), fallback="unity")
     return _kernel(spark, sf_dir, prefilter=response).select("series_id", "name", _r("amplitude").alias("amplitude"))
@@ -673,17 +663,21 @@ def fit_shared_axis(spark, sf_dir):
     return coefficients(fit(rows, FitOptions(constituents=FIVE, axis="shared", confidence="linear"), latitude=55.0)).select("series_id", "name", _r("amplitude", 4).alias("amplitude"), _r("amplitude_ci", 4).alias("amplitude_ci"))
 
 
-@query()
+@query(f"WITH {_nodal_design_sql(FIVE, True)}, {_KERNEL} SELECT series_id, {_s('mjd')} AS mjd, {_s('b_10_0 + b_11_0 * tr + ' + ' + '.join(f'b_{2 * i}_0 * c{i} + b_{2 * i + 1}_0 * s{i}' for i in range(5)), 4)} AS h FROM design JOIN solved USING (series_id)")
 def reconstruct_fit(spark, sf_dir):
     rows, options = obs(spark, sf_dir), FitOptions(constituents=FIVE)
     return reconstruct(fit(rows, options, _sites(rows)), rows, options).select("series_id", _r("mjd").alias("mjd"), _r("u", 4).alias("h"))
 
 
-@query()
+_WINDOWS = f"win AS (SELECT series_id || ' ' || start AS key, series_id, start, u, COS({_W['M2']!r}::DOUBLE * mjd) AS c, SIN({_W['M2']!r}::DOUBLE * mjd) AS s, 1.0::DOUBLE AS one FROM (SELECT *, FLOOR((mjd - 40587) / 10)::BIGINT AS start FROM obs))"
+
+
+@query(f"WITH {OBS}, {_WINDOWS}, {moments.gauss_sql('win', 'key', ['c', 's', 'one'], ['u'])} SELECT split_part(key, ' ', 1)::BIGINT AS series_id, TIMESTAMP '1970-01-01' + to_days((10 * split_part(key, ' ', 2)::BIGINT)::INTEGER) AS window_start, n_obs, {_s('SQRT(b_0_0 * b_0_0 + b_1_0 * b_1_0)', 5)} AS amplitude, {_s('b_2_0', 5)} AS mean FROM solved WHERE n_obs > 4")
 def windowed_refit(spark, sf_dir):
     from perigee.streaming.refit import refit_windows
 
-    return refit_windows(read(spark, sf_dir, "events"), "ts", "user_id", "value", days=10)
+    out = refit_windows(read(spark, sf_dir, "events"), "ts", "user_id", "value", days=10)
+    return out.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "amplitude": _r("amplitude", 5), "mean": _r("mean", 5)})
 
 
 def queries() -> dict[str, Query]:

@@ -58,7 +58,7 @@ def test_entry_stands_without_the_subpackage(monkeypatch):
 
 def test_every_hour_is_reconstructed(spark):
     hours = catalogue.hourly(spark, DIR).select("hour").distinct().count()
-    out = catalogue.queries()["reconstruct_hours"](spark, DIR)
+    out = catalogue.queries()["reconstruct_series"](spark, DIR)
     assert out.select("mjd").distinct().count() == hours
     assert out.count() == hours * out.select("series_id").distinct().count()
 
@@ -66,5 +66,5 @@ def test_every_hour_is_reconstructed(spark):
 def test_every_part_begins_an_element(spark):
     keys = {r.p_partkey for r in catalogue.read(spark, DIR, "part").select("p_partkey").collect()}
     want = {k for k in keys if {k + 1, k + 2} <= keys}
-    out = catalogue.queries()["mesh_layer_depths"](spark, DIR).collect()
+    out = catalogue.queries()["layer_depths"](spark, DIR).collect()
     assert {r.element_id for r in out} == want and len(out) == 3 * len(want)
