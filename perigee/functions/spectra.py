@@ -76,6 +76,17 @@ def fft_spectrum(residuals: np.ndarray, interval_hours: float) -> tuple[np.ndarr
     return fft_frequencies(n, interval_hours), density
 
 
+def lomb_power(hours: np.ndarray, x: np.ndarray, frequencies: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Half the sum of the projections of ``x`` on both waves of each frequency, shifted so that they are orthogonal."""
+    out, rows = np.empty(len(frequencies)), max(1, block // max(1, len(hours)))
+    for a in range(0, len(frequencies), rows):
+        angle = 2 * np.pi * frequencies[a : a + rows, None] * hours[None]
+        shift = 0.5 * np.arctan2(np.sin(2 * angle).sum(axis=1), np.cos(2 * angle).sum(axis=1))
+        c, s = np.cos(angle - shift[:, None]), np.sin(angle - shift[:, None])
+        out[a : a + rows] = 0.5 * ((c @ x) ** 2 / (c * c).sum(axis=1) + (s @ x) ** 2 / (s * s).sum(axis=1))
+    return out
+
+
 def lomb_spectrum(residuals: np.ndarray, hours: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As :func:`fft_spectrum` on any increasing times; the window follows the position within the span."""
     n = residuals.shape[1] - residuals.shape[1] % 2

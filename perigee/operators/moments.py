@@ -39,14 +39,42 @@ def solution_steps(p: int, targets: int, errors: bool = True) -> list[list[tuple
     return steps
 
 
-def solve_by_moments(design: DataFrame, key: str, columns: list[str], targets: list[str], errors: bool = False) -> DataFrame:
-    """key, n_obs, b_i_t (coefficients), and for ``errors`` v_i (diagonal of the inverse) and noise_t; series with too few rows are left out."""
+def solve_by_moments(design: DataFrame, key: str, columns: list[str], targets: list[str], errors: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """key, n_obs, b_i_t (coefficients), and for ``errors`` v_i (diagonal of the inverse) and noise_t; series with too few rows are left out.
+
+    ``more``: further aggregates, with their names, that are kept.
+    """
     p = len(columns)
-    table = design.groupBy(key).agg(*(_expr(x) for x in moment_expressions(columns, targets))).where(f"n_obs > {p}")
+    table = design.groupBy(key).agg(*(_expr(x) for x in (*moment_expressions(columns, targets), *more))).where(f"n_obs > {p}")
     for step in solution_steps(p, len(targets), errors):
         table = table.withColumns({name: _expr(text) for name, text in step})
-    more = [*(f"v_{i}" for i in range(p)), *(f"noise_{t}" for t in range(len(targets)))] if errors else []
-    return table.select(key, "n_obs", *(f"b_{i}_{t}" for i in range(p) for t in range(len(targets))), *more)
+    found = [*(f"v_{i}" for i in range(p)), *(f"noise_{t}" for t in range(len(targets)))] if errors else []
+    return table.select(key, "n_obs", *(f"b_{i}_{t}" for i in range(p) for t in range(len(targets))), *found, *(x.rsplit(" AS ", 1)[1] for x in more))
+
+
+def harmonic_moments(obs: DataFrame, key: str, time: str, turns: list[float], targets: list[str], trend: bool, epoch: float) -> DataFrame:
+    """key, n_obs, b_i_t of waves (radians a day in ``turns``), mean and trend over the span, about the middle of each series.
+
+    The sums are taken about one ``epoch`` near the data, so that one pass with sums combined before the shuffle is enough; the
+    coefficients are turned to each series' own middle afterwards, from its first and last time.
+    """
+    from pyspark.sql import functions as F
+
+    dt, k = F.col(time) - F.lit(epoch), len(turns)
+    design = obs.withColumns({f"{x}{i}": f(F.lit(w) * dt) for i, w in enumerate(turns) for x, f in (("c", F.cos), ("s", F.sin))} | {"one": F.lit(1.0)} | ({"tr": dt} if trend else {}))
+    columns = [f"{x}{i}" for i in range(k) for x in "cs"] + ["one"] + ["tr"] * trend
+    table = solve_by_moments(design, key, columns, targets, more=(f"MIN({time}) AS first_", f"MAX({time}) AS last_"))
+    shift, span = (F.col("first_") + F.col("last_")) / 2 - F.lit(epoch), F.col("last_") - F.col("first_")
+    table = table.withColumns({f"{x}_{i}": f(F.lit(w) * shift) for i, w in enumerate(turns) for x, f in (("re", F.cos), ("im", F.sin))})
+    out = {}
+    for t in range(len(targets)):
+        for i in range(k):
+            c, s = F.col(f"b_{2 * i}_{t}"), F.col(f"b_{2 * i + 1}_{t}")
+            out[f"b_{2 * i}_{t}"], out[f"b_{2 * i + 1}_{t}"] = c * F.col(f"re_{i}") + s * F.col(f"im_{i}"), s * F.col(f"re_{i}") - c * F.col(f"im_{i}")
+        out[f"b_{2 * k}_{t}"] = F.col(f"b_{2 * k}_{t}") + (F.col(f"b_{2 * k + 1}_{t}") * shift if trend else F.lit(0.0))
+        if trend:
+            out[f"b_{2 * k + 1}_{t}"] = F.col(f"b_{2 * k + 1}_{t}") * span
+    return table.select(key, "n_obs", *(out[f"b_{i}_{t}"].alias(f"b_{i}_{t}") for i in range(len(columns)) for t in range(len(targets))))
 
 
 def gauss_sql(source: str, key: str, columns: list[str], targets: list[str]) -> str:

@@ -1,39 +1,67 @@
-"""Spectra as joins of frequencies and times, for checks and for short records; the kernel has the fast ones."""
+"""Spectra of series: one shuffle packs a series into an array by time, the transform runs over Arrow batches.
+
+A series' samples and one block of frequencies are in memory at a time; rows are only made for the results.
+"""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perigee.functions.spectra import fft_spectrum, lomb_power
+
+_SCHEMA = "bin long, frequency double, {value} double"
+
+
+def _packed(series: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    known = series.where(F.col(at).isNotNull() & F.col(value).isNotNull())
+    points = F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(value).cast("double").alias("x"))))
+    return known.groupBy(F.col(key).alias(key)).agg(points.alias("points"))
+
+
+def _each(packed: DataFrame, key: str, name: str, spectrum: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """Rows (key, bin, frequency, ``name``) of ``spectrum(t, x)``."""
+    kind = packed.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("points")
+            t, x = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            bounds = lists.offsets.to_numpy()
+            for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                bins, frequency, found = spectrum(t[a:b], x[a:b])
+                keys = pa.chunked_array([batch.column(key).slice(i, 1)]).take(pa.array(np.zeros(len(bins), np.int64))).combine_chunks()
+                yield pa.RecordBatch.from_arrays([keys, pa.array(bins, pa.int64()), pa.array(frequency), pa.array(found)], names=[key, "bin", "frequency", name])
+
+    return packed.mapInArrow(run, f"`{key}` {kind}, " + _SCHEMA.format(value=name))
+
+
+def periodogram(series: DataFrame, key: str, index: str, value: str, interval_hours: float = 1.0) -> DataFrame:
+    """key, bin, frequency, density: one-sided, of values without their mean times the periodic Hann window, in the order of
+    ``index``; an odd last sample is left out, the first and last bin aren't doubled. A series below two samples has none."""
 
-def hann_windowed(series: DataFrame, key: str, index: str, value: str) -> DataFrame:
-    """key, i, x, w: values without their mean times the periodic Hann window, over an even count of samples."""
-    numbered = series.withColumns({"i": F.row_number().over(Window.partitionBy(key).orderBy(index)) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(key))})
-    even = numbered.withColumn("n", F.col("n") - F.col("n") % 2).where("i < n")
-    w = F.lit(0.5) - F.lit(0.5) * F.cos(F.lit(2 * math.pi) * F.col("i") / F.col("n"))
-    mean = F.avg(value).over(Window.partitionBy(key))
-    return even.select(key, "i", "n", w.alias("w"), ((F.col(value) - mean) * w).alias("x"), F.col(index).alias("at"))
+    def one(_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(x) < 2:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        frequency, density = fft_spectrum(x[None], interval_hours)
+        return np.arange(len(frequency)), frequency, density[0, 0]
 
+    return _each(_packed(series, key, index, value), key, "density", one)
 
-def periodogram(windowed: DataFrame, key: str, interval_hours: float = 1.0) -> DataFrame:
-    """key, bin, frequency, density: one-sided; the first and last bin aren't doubled."""
-    half = windowed.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2))))
-    turn = F.lit(2 * math.pi) * ((F.col("bin") * F.col("i")) % F.col("n")) / F.col("n")
-    sums = half.groupBy(key, "bin").agg(F.sum(F.col("x") * F.cos(turn)).alias("re"), F.sum(F.col("x") * F.sin(turn)).alias("im"), F.sum(F.col("w") * F.col("w")).alias("energy"), F.first("n").alias("n"))
-    twice = F.when((F.col("bin") == 0) | (F.col("bin") == F.floor(F.col("n") / 2)), 1.0).otherwise(2.0)
-    return sums.select(key, "bin", (F.col("bin") / (F.col("n") * F.lit(interval_hours))).alias("frequency"), (twice * (F.col("re") * F.col("re") + F.col("im") * F.col("im")) * interval_hours / F.col("energy")).alias("density"))
 
+def lomb(series: DataFrame, key: str, time: str, value: str) -> DataFrame:
+    """key, bin, frequency, power: half the sum of the projections on both phase-shifted waves, not normalised, at
+    i / (n dt) for i from 1 to n/2 - 1; ``time`` in days, frequencies an hour."""
 
-def lomb(series: DataFrame, grid: DataFrame, key: str, hours: str, value: str) -> DataFrame:
-    """key, bin, frequency, power: half the sum of the projections on both phase-shifted waves, not normalised.
+    def one(t: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(t)
+        bins = np.arange(1, n // 2)
+        hours = 24.0 * (t - t[0])
+        frequency = bins / (n * hours[-1] / (n - 1)) if len(bins) else np.zeros(0)
+        return bins, frequency, lomb_power(hours, x, frequency)
 
-    Two passes: the phase shift of every frequency, then the projections.
-    """
-    pairs = series.select(key, F.col(hours).alias("t"), F.col(value).alias("x")).join(grid, key)
-    angle = F.lit(2 * math.pi) * F.col("frequency") * F.col("t")
-    shift = pairs.groupBy(key, "bin").agg((F.atan2(F.sum(F.sin(2 * angle)), F.sum(F.cos(2 * angle))) / 2).alias("shift"))
-    turned = pairs.join(shift, [key, "bin"]).withColumns({"c": F.cos(angle - F.col("shift")), "s": F.sin(angle - F.col("shift"))})
-    sums = turned.groupBy(key, "bin").agg(F.first("frequency").alias("frequency"), *(F.sum(F.expr(e)).alias(n) for n, e in (("xc", "x * c"), ("xs", "x * s"), ("cc", "c * c"), ("ss", "s * s"))))
-    return sums.select(key, "bin", "frequency", ((F.col("xc") * F.col("xc") / F.col("cc") + F.col("xs") * F.col("xs") / F.col("ss")) / 2).alias("power"))
+    return _each(_packed(series, key, time, value), key, "power", one)

@@ -288,7 +288,13 @@ def _fit_sql(names, trend, targets=("u",)):
     return f"WITH {_raw_sql(names, trend)}, {moments.gauss_sql('design', 'series_id', _design_columns(names, trend), list(targets))} "
 
 
+#: Near the driver's tables' times.
+EPOCH = 60324.0
+
+
 def _fit_native(spark, sf_dir, names, trend, targets=("u",), errors=False):
+    if not errors:
+        return moments.harmonic_moments(obs(spark, sf_dir), "series_id", "mjd", [_W[n] for n in names], list(targets), trend, EPOCH)
     return moments.solve_by_moments(_raw_design(spark, sf_dir, names, trend), "series_id", _design_columns(names, trend), list(targets), errors)
 
 
@@ -454,13 +460,13 @@ _DFT = f"dft AS (SELECT series_id, bin, SUM(x * COS({2 * math.pi!r} * ((bin * i)
 
 @query(f"WITH {HOURLY}, {_windowed_sql()}, {_DFT} SELECT series_id, bin, {_s('frequency', 9)} AS frequency, {_s('density', 2)} AS density FROM psd")
 def residual_periodogram(spark, sf_dir):
-    out = spectrum.periodogram(spectrum.hann_windowed(hourly(spark, sf_dir), "series_id", "hour", "u"), "series_id")
+    out = spectrum.periodogram(hourly(spark, sf_dir), "series_id", "hour", "u")
     return out.select("series_id", "bin", _r("frequency", 9).alias("frequency"), _r("density", 2).alias("density"))
 
 
 @query(f"WITH {HOURLY}, {_windowed_sql()}, {_DFT}, {_BANDS}, near AS (SELECT *, LAG(frequency) OVER (PARTITION BY series_id ORDER BY bin) AS before FROM psd) SELECT series_id, band, {_s('AVG(density)', 2)} AS density FROM near JOIN bands ON frequency >= lower AND COALESCE(before, -1) < upper GROUP BY 1, 2")
 def band_power(spark, sf_dir):
-    psd = spectrum.periodogram(spectrum.hann_windowed(hourly(spark, sf_dir), "series_id", "hour", "u"), "series_id")
+    psd = spectrum.periodogram(hourly(spark, sf_dir), "series_id", "hour", "u")
     return sampling.banded(psd, cat.band_table(spark)).groupBy("series_id", "band").agg(_r(F.avg("density"), 2).alias("density"))
 
 
@@ -475,9 +481,7 @@ _ANG = f"{2 * math.pi!r}::DOUBLE * f * t"
     SELECT series_id, bin, {_s('(xc * xc / cc + xs * xs / ss) / 2', 3)} AS power FROM sums"""
 )
 def lomb_spectrum(spark, sf_dir):
-    sampled = sampling.series_sampling(obs(spark, sf_dir))
-    timed = obs(spark, sf_dir).join(sampled.select("series_id", "first_mjd"), "series_id").withColumn("hours", (F.col("mjd") - F.col("first_mjd")) * 24)
-    return spectrum.lomb(timed, sampling.lomb_grid(sampled), "series_id", "hours", "u").select("series_id", "bin", _r("power", 3).alias("power"))
+    return spectrum.lomb(obs(spark, sf_dir), "series_id", "mjd", "u").select("series_id", "bin", _r("power", 3).alias("power"))
 
 
 # -- robust ------------------------------------------------------------------------------------------------------------
