@@ -13,7 +13,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from perigee import __version__
-from perigee.operators.fit import fit, reconstruct
+from perigee.operators.fit import fit
 from perigee.operators.options import AnalysisError, FitOptions, Relation
 from perigee.operators.selection import select_series
 from perigee.plans.shipping import ship
@@ -85,9 +85,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         obs = spark.read.parquet(a.observations)
         obs = select_series(obs, "series_id", a.prefix, [int(x) for x in a.indices.split(",")] if a.indices else None)
         fitted = fit(obs, o, spark.read.parquet(a.sites) if a.sites else None, v="v" if a.verb == "analyze-vector" else None, latitude=a.latitude)
-        report = write_product(fitted, a.out, o, a.overwrite)
-        if a.reconstruct:
-            reconstruct(fitted, obs, o).write.mode("overwrite" if a.overwrite else "errorifexists").parquet(f"{a.out}/reconstruction")
+        report = write_product(fitted, a.out, o, a.overwrite, obs if a.reconstruct else None)
     except AnalysisError as e:
         print(e, file=sys.stderr)
         return 2

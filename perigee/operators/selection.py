@@ -29,17 +29,29 @@ def explicit_constituents(catalogue: DataFrame, names: list[str]) -> DataFrame:
 
 
 def select_series(table: DataFrame, key: str, prefix: int | None = None, indices: list[int] | None = None) -> DataFrame:
-    """All, the first ``prefix`` by key, or ``indices`` in the order asked for (``position``)."""
+    """All, those numbered below ``prefix``, or ``indices`` in the order asked for (``position``); what isn't there is an error."""
     if prefix is not None:
+        most = table.agg(F.max(key)).first()[0]
+        if prefix < 1 or most is None or prefix > most + 1:
+            raise AnalysisError("selection", f"a prefix must lie between 1 and {0 if most is None else most + 1}, not {prefix}")
         return table.where(F.col(key) < prefix)
     if indices is None:
         return table
-    if len(set(indices)) < len(indices) or not indices:
-        raise AnalysisError("selection", "indices must be unique and at least one")
-    asked = table.sparkSession.createDataFrame(list(enumerate(indices)), "position int, asked long")
+    return _asked(table, key, indices, "position")
+
+
+def select_layers(table: DataFrame, layers: list[int], layer: str = "layer") -> DataFrame:
+    """``table`` at ``layers``, with the order asked for (``layer_position``); a layer that isn't there is an error."""
+    return _asked(table, layer, layers, "layer_position")
+
+
+def _asked(table: DataFrame, key: str, values: list[int], position: str) -> DataFrame:
+    if len(set(values)) < len(values) or not values:
+        raise AnalysisError("selection", f"{key}: what is asked for must be unique and one at least")
+    asked = table.sparkSession.createDataFrame(list(enumerate(values)), f"{position} int, asked long")
     found = table.join(F.broadcast(asked), F.col(key) == F.col("asked")).drop("asked")
-    if found.count() < len(indices):
-        raise AnalysisError("selection", "an index is out of range")
+    if found.select(position).distinct().count() < len(values):
+        raise AnalysisError("selection", f"{key}: a value is out of range")
     return found
 
 

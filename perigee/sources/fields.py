@@ -6,12 +6,14 @@ and the needed columns reach the scan.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perigee.operators.options import AnalysisError
 from perigee.operators.sampling import finite, without_fill
-from perigee.operators.selection import select_series
+from perigee.operators.selection import select_layers, select_series
 
 MILLISECONDS_PER_DAY = 86_400_000.0
 
@@ -33,18 +35,55 @@ def scalar_field(table: DataFrame, value: str = "zeta", fill: float | None = Non
 
 
 def vector_field(table: DataFrame, u: str = "ua", v: str = "va", fill: float | None = None, series: str = "element", prefix: int | None = None, indices: list[int] | None = None, layers: list[int] | None = None, time: Column | None = None) -> DataFrame:
-    """series_id, mjd, u, v (and layer, of the selected layers): both components present."""
+    """series_id, mjd, u, v (and of selected layers ``layer`` and ``layer_position``, their order): both components present."""
     chosen = select_series(table, series, prefix, indices)
     if layers is not None:
-        if len(set(layers)) < len(layers) or not layers:
-            raise AnalysisError("selection", "layers must be unique and at least one")
-        chosen = chosen.where(F.col("layer").isin(layers))
+        chosen = select_layers(chosen, layers)
     clean = lambda c: F.col(c).cast("double") if fill is None else without_fill(F.col(c).cast("double"), fill)
-    more = ["layer"] if layers is not None else []
+    more = ["layer", "layer_position"] if layers is not None else []
     rows = chosen.select(F.col(series).alias("series_id"), *more, (split_time() if time is None else time).alias("mjd"), clean(u).alias("u"), clean(v).alias("v"))
     return finite(rows, "mjd", "u", "v")
 
 
+@dataclass(frozen=True)
+class FieldSource:
+    """What a model's tables say of themselves: units, rows, and how values lie in the vertical.
+
+    ``vertical``: surface (no layers), layers (a layer column), or depths (layers, with sigma, bathymetry and surface to
+    interpolate by).
+    """
+
+    unit: str
+    series: int
+    times: int
+    layers: tuple[int, ...]
+    vertical: str
+    missing: int
+
+
+def describe(values: DataFrame, units: dict[str, str], series: str, columns: tuple[str, ...], geometry: dict[str, DataFrame] | None = None, time: Column | None = None) -> FieldSource:
+    """Check a model's tables and describe them, by one aggregation over ``values``.
+
+    ``units`` of the value columns must agree. ``geometry`` (sigma, bathymetry, surface, mesh) is all there or not at all, its nodes
+    are known to the bathymetry, and each element has three of them.
+    """
+    unit = same_units(*(units[c] for c in columns))
+    layered = "layer" in values.columns
+    none = [F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))) for c in columns]
+    n, times, missing, layers = values.agg(F.count_distinct(series), F.count_distinct(split_time() if time is None else time), sum(none[1:], none[0]), F.array_sort(F.collect_set("layer")) if layered else F.array().cast("array<int>")).first()
+    if geometry:
+        if lacking := {"sigma", "bathymetry", "surface", "mesh"} - set(geometry):
+            raise AnalysisError("geometry", f"lacks {sorted(lacking)}")
+        if not layered:
+            raise AnalysisError("geometry", "values without layers can't be interpolated to depths")
+        mesh = geometry["mesh"]
+        if not mesh.where(F.size("node_ids") != 3).isEmpty():
+            raise AnalysisError("geometry", "an element needs three nodes")
+        if not mesh.select(F.explode("node_ids").alias("node_id")).join(geometry["bathymetry"], "node_id", "left_anti").isEmpty():
+            raise AnalysisError("geometry", "a node has no depth")
+    return FieldSource(unit, n, times, tuple(layers), "depths" if geometry else "layers" if layered else "surface", missing)
+
+
 def same_units(*units: str) -> str:
     """The common unit of several variables; different ones are an error."""
     if len({x.strip() for x in units}) != 1:
@@ -53,8 +92,11 @@ def same_units(*units: str) -> str:
 
 
 def axis_fingerprint(axis: DataFrame, time: str = "mjd") -> str:
-    """A hash of a time axis' points in order, to tell whether a fit and a request share it."""
-    return f"{axis.agg(F.xxhash64(F.array_sort(F.collect_list(time)))).first()[0] % 2**64:016x}"
+    """A hash of a time axis' points, to tell whether a fit and a request share it; their order is that of their values, so
+    sums of the points' hashes do, and no task sees them all."""
+    h = F.xxhash64(F.col(time).cast("double"))
+    n, low, high = axis.where(F.col(time).isNotNull()).agg(F.count(F.lit(1)), F.sum(h.bitwiseAND(F.lit(2**31 - 1))), F.sum(F.shiftrightunsigned(h, 31))).first()
+    return f"{n:x}-{low or 0:x}-{high or 0:x}"
 
 
 def ordered(table: DataFrame, layer: str = "layer", element: str = "series_id") -> DataFrame:

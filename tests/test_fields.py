@@ -11,7 +11,7 @@ def test_scalar_and_vector_fields(spark):
     got = fields.scalar_field(table, fill=fill, prefix=3, time=fields.split_time(fill=-7)).orderBy("series_id", "mjd").collect()
     assert [(r.series_id, r.mjd, r.u) for r in got] == [(0, 58000.0, 1.5), (0, 58000.5, None), (2, 58001.0, None)]
     both = fields.vector_field(table, u="zeta", v="va", fill=fill, series="node", layers=[1], time=fields.split_time(fill=-7)).collect()
-    assert [(r.series_id, r.layer, r.u, r.v) for r in both] == [(0, 1, 1.5, 2.0)]
+    assert [(r.series_id, r.layer, r.layer_position, r.u, r.v) for r in both] == [(0, 1, 0, 1.5, 2.0)]
     with pytest.raises(AnalysisError):
         fields.vector_field(table, u="zeta", v="va", series="node", layers=[1, 1])
 
@@ -23,3 +23,26 @@ def test_units_fingerprints_and_now(spark):
     axis = spark.createDataFrame([(1.0,), (2.0,)], "mjd double")
     assert fields.axis_fingerprint(axis) == fields.axis_fingerprint(axis.orderBy("mjd", ascending=False)) != fields.axis_fingerprint(axis.limit(1))
     assert fields.now_mjd(spark) > 60000
+
+
+def test_sources_describe_themselves(spark):
+    rows = [(e, 58000, 0, k, 1.0 * e, 2.0 if e else None) for e in range(3) for k in (1, 2)]
+    table = spark.createDataFrame(rows, "element int, itime int, itime2 int, layer int, u double, v double")
+    units = {"u": "m s-1", "v": "m s-1 "}
+    geometry = {
+        "mesh": spark.createDataFrame([(e, [e, e + 1, e + 2]) for e in range(3)], "element_id int, node_ids array<int>"),
+        "bathymetry": spark.createDataFrame([(n, 10.0) for n in range(5)], "node_id int, h double"),
+        "sigma": spark.createDataFrame([(1, 0, -0.5)], "layer int, node_id int, sigma double"),
+        "surface": spark.createDataFrame([(58000.0, 0, 0.0)], "mjd double, node_id int, zeta double"),
+    }
+    found = fields.describe(table, units, "element", ("u", "v"), geometry)
+    assert found == fields.FieldSource("m s-1", 3, 1, (1, 2), "depths", 2)
+    assert fields.describe(table, units, "element", ("u", "v")).vertical == "layers"
+    assert fields.describe(table.drop("layer"), units, "element", ("u",)) == fields.FieldSource("m s-1", 3, 1, (), "surface", 0)
+    for wrong in ({k: x for k, x in geometry.items() if k != "sigma"}, geometry | {"bathymetry": geometry["bathymetry"].where("node_id < 4")}, geometry | {"mesh": spark.createDataFrame([(0, [1, 2])], "element_id int, node_ids array<int>")}):
+        with pytest.raises(AnalysisError):
+            fields.describe(table, units, "element", ("u", "v"), wrong)
+    with pytest.raises(AnalysisError):
+        fields.describe(table, {"u": "m", "v": "cm"}, "element", ("u", "v"))
+    with pytest.raises(AnalysisError):
+        fields.describe(table.drop("layer"), units, "element", ("u", "v"), geometry)

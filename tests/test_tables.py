@@ -9,7 +9,7 @@ from perigee.functions.astronomy import TimeTerms
 from perigee.operators import fit as fitting
 from perigee.operators import moments, post, sampling, selection, vertical
 from perigee.operators.kernel import basis
-from perigee.operators.options import AnalysisError, FitOptions
+from perigee.operators.options import AnalysisError, FitOptions, PreFilter, Relation
 from perigee.sources.constituents import constituent_table
 from perigee.sources.product import read_product
 
@@ -167,6 +167,9 @@ def test_command_line(spark, table, sites, tmp_path, capsys):
     coef, series, report = read_product(spark, f"{tmp_path}/p")
     assert report["series"] == report["fitted"] == series.count() == 3 and coef.count() == 9
     assert spark.read.parquet(f"{tmp_path}/p/reconstruction").count() == 1200
+    assert report["tables"] == ["bands", "coefficients", "order", "reconstruction", "series"] and len(report["sample"]) == 9
+    assert not [x for x in tmp_path.iterdir() if ".new-" in x.name or ".old-" in x.name]
+    assert cli.main(["analyze-vector", *common, "--out", f"{tmp_path}/p"], spark) == 2  # there already
     assert cli.main(["analyze-scalar", *common, "--out", f"{tmp_path}/q", "--order", "snr"], spark) == 2
     assert cli.main(["analyze-scalar", *common, "--out", f"{tmp_path}/q", "--infer", "bad"], spark) == 2
 
@@ -201,3 +204,96 @@ def test_series_solved_together_equal_single_ones(spark, v, given):
         assert r.status == "fitted" and r.names == alone["names"] and r.rows == alone["rows"]
         for c in ("pe", "mean", "slope", "frequency", *(("semi_major", "semi_minor", "u_cos", "v_sin", "mean_v") if v else ("cos", "sin", "amplitude"))):
             assert np.allclose(r[c], alone[c], atol=1e-10), c
+
+
+def test_a_failed_overwrite_leaves_the_old_product(spark, table, sites, tmp_path, monkeypatch):
+    from perigee.sources import product
+
+    o = FitOptions(constituents=("M2", "S2"), method="robust", infer=(Relation("K2", "S2", 0.3, 10.0),), prefilter=PreFilter((0.0, 0.2), (1.0, 0.5), fallback="unity"))
+    rows = table.where("mjd IS NOT NULL AND NOT isnan(mjd)")
+    fitted, path = fitting.fit(rows, o, sites), f"{tmp_path}/p"
+    report = product.write_product(fitted, path, o)
+    assert product.product_options(json.loads(json.dumps(report))) == o and "weights" in report["tables"]
+    first = sorted(map(str, product.read_product(spark, path)[0].collect()))
+    order = spark.read.parquet(f"{path}/order").collect()
+    assert len(order) == 3 * report["fitted"] and {r.presentation_rank for r in order} == {0, 1, 2}
+    assert spark.read.parquet(f"{path}/weights").groupBy("series_id").count().where("count > 10").count() == report["fitted"]
+    assert spark.read.parquet(f"{path}/bands").where("usable > bins OR lower >= upper").count() == 0
+
+    def broken(*_):
+        raise OSError("no space")
+
+    for name in ("product_digest", "reconstruct"):
+        with monkeypatch.context() as m:
+            m.setattr(product, name, broken)
+            with pytest.raises(OSError):
+                product.write_product(fitted, path, o, overwrite=True, targets=rows)
+    true = product._Files.rename
+    with monkeypatch.context() as m:
+        m.setattr(product._Files, "rename", lambda self, a, b: broken() if ".new-" in a else true(self, a, b))
+        with pytest.raises(OSError):
+            product.write_product(fitted, path, o, overwrite=True)
+    with pytest.raises(AnalysisError):
+        product.write_product(fitted, path, o)
+    assert sorted(map(str, product.read_product(spark, path)[0].collect())) == first and [x.name for x in tmp_path.iterdir()] == ["p"]
+    again = product.write_product(fitted, path, o, overwrite=True)
+    assert again["digest"] == report["digest"] and [x.name for x in tmp_path.iterdir()] == ["p"]
+    view = product.dataset(spark, path)
+    assert view["dims"] == {"series": report["fitted"], "constituent": 3} and np.shape(view["data_vars"]["amplitude"]["data"]) == (report["fitted"], 3)
+
+
+def test_selection_out_of_range(spark):
+    from perigee.operators.selection import select_layers, select_series
+
+    rows = spark.createDataFrame([(s, k) for s in range(4) for k in (5, 6, 7)], "series_id long, layer int")
+    assert select_series(rows, "series_id", prefix=4).count() == 12
+    for wrong in (0, 5):
+        with pytest.raises(AnalysisError):
+            select_series(rows, "series_id", prefix=wrong)
+    with pytest.raises(AnalysisError):
+        select_series(rows, "series_id", indices=[1, 9])
+    got = select_layers(rows.where("series_id = 0"), [7, 5]).orderBy("layer_position").collect()
+    assert [r.layer for r in got] == [7, 5]
+    for wrong in ([8], [5, 5], []):
+        with pytest.raises(AnalysisError):
+            select_layers(rows, wrong)
+
+
+def test_dry_elements_have_no_layers(spark):
+    from perigee.operators import vertical
+
+    mesh = spark.createDataFrame([(0, [1, 2, 3]), (1, [2, 3, 4])], "element_id int, node_ids array<int>")
+    sigma = spark.createDataFrame([(k, n, -0.25 * k) for k in (1, 2) for n in range(1, 5)], "layer int, node_id int, sigma double")
+    h = spark.createDataFrame([(n, 10.0 * n) for n in range(1, 5)], "node_id int, h double")
+    zeta = spark.createDataFrame([(float(t), n, 0.1 * t) for t in range(3) for n in range(1, 5)], "mjd double, node_id int, zeta double")
+    wet = spark.createDataFrame([(0.0, 0, 1), (0.0, 1, 0), (1.0, 0, 1), (1.0, 1, 1), (2.0, 0, None)], "mjd double, element_id int, wet int")
+    got = {(r.mjd, r.element_id, r.layer): r.depth for r in vertical.layer_depths(mesh, sigma, h, zeta, wet).collect()}
+    assert set(got) == {(t, e, k) for t, e in ((0.0, 0), (1.0, 0), (1.0, 1)) for k in (1, 2)}
+    assert got[1.0, 1, 2] == pytest.approx(0.5 * 30.1)
+    assert vertical.layer_depths(mesh, sigma, h, zeta).count() == 12
+
+
+def test_spectra_equal_sums_over_samples(spark):
+    from perigee.operators import spectrum
+
+    rng = np.random.default_rng(2)
+    data = {s: (np.sort(rng.uniform(0, 20, n)), rng.normal(size=n)) for s, n in (("a", 41), ("b", 8), ("c", 1))}
+    rows = spark.createDataFrame([(s, float(t), float(x)) for s, (a, b) in data.items() for t, x in zip(a, b)], "key string, t double, x double")
+    psd = {(r.key, r.bin): r for r in spectrum.periodogram(rows, "key", "t", "x").collect()}
+    power = {(r.key, r.bin): r for r in spectrum.lomb(rows, "key", "t", "x").collect()}
+    for s, (t, x) in data.items():
+        n = len(x) - len(x) % 2
+        w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / max(n, 1))
+        y = (x[:n] - x[:n].mean()) * w if n else x[:0]
+        for b in range(n // 2 + 1 if n else 0):
+            z = (y * np.exp(-2j * np.pi * b * np.arange(n) / n)).sum()
+            assert psd.pop((s, b)).density == pytest.approx((1 if b in (0, n // 2) else 2) * abs(z) ** 2 / (w @ w), abs=1e-9)
+        hours = 24 * (t - t[0])
+        for b in range(1, len(t) // 2):
+            f = b / (len(t) * hours[-1] / (len(t) - 1))
+            a = 2 * np.pi * f * hours
+            shift = np.arctan2(np.sin(2 * a).sum(), np.cos(2 * a).sum()) / 2
+            c, d = np.cos(a - shift), np.sin(a - shift)
+            r = power.pop((s, b))
+            assert r.frequency == pytest.approx(f) and r.power == pytest.approx(((x @ c) ** 2 / (c @ c) + (x @ d) ** 2 / (d @ d)) / 2)
+    assert not psd and not power
