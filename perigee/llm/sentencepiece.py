@@ -8,9 +8,13 @@ are relaxed: the two neighbours whose edge has the best score are merged, leftmo
 is what the model's own encoder does, so identifiers equal its identifiers. What no piece covers
 becomes byte pieces. Units are remembered; a text is cut into units and looked up.
 
+A long unit, as texts without spaces have, is cut again between neighbours that stand side by side in no piece: every
+merge makes a piece, so none reaches over such a border, and its parts are encoded as units of their own.
+
 Defined results: a null or empty text has no pieces; a meta space (U+2581) in a text is read as a space, as the
-model does, so it doesn't come back on decoding; null identifiers and repeated rows are kept; an empty table gives an
-empty result.
+model does, so it doesn't come back on decoding; null identifiers and repeated rows are kept; very long texts are taken
+whole, and of them one part without a border at a time is in memory (some 500 bytes a character: only a run of characters that
+pieces join everywhere, such as one letter repeated, makes a large part); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ META = "▁"
 CACHE_UNITS, BLOCK_CHARS = 600_000, 1 << 20
 #: Longer units are relaxed one by one with a heap, as rounds over all units would wait for them.
 LONG_UNIT = 48
+#: Units beyond so many characters are cut at borders that no piece reaches over.
+CUT_UNIT = 2048
 _UNIT = re.compile(f"{META}*[^{META}]+|{META}+")
 
 
@@ -80,6 +86,20 @@ class PieceModel:
         self.id_of_rank = np.empty(len(pieces), np.int64)
         self.id_of_rank[self.rank] = self.ids
         self.units: dict[str, bytes] = {}
+        inner = self.chars[:, 1:] > 0
+        self.joined = np.unique((self.chars[:, :-1] << 21 | self.chars[:, 1:])[inner])
+
+    def parts(self, unit: str) -> Iterator[str]:
+        """A unit cut between neighbours that stand side by side in no piece."""
+        begin = 0
+        for at in range(0, len(unit), BLOCK_CHARS):
+            codes = np.frombuffer(unit[at : at + BLOCK_CHARS + 1].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            pair = codes[:-1] << 21 | codes[1:]
+            found = self.joined[np.minimum(np.searchsorted(self.joined, pair), len(self.joined) - 1)] == pair
+            for end in (np.flatnonzero(~found) + at + 1).tolist():
+                yield unit[begin:end]
+                begin = end
+        yield unit[begin:]
 
     def edges(self, codes: np.ndarray) -> np.ndarray:
         """best[position, length]: rank of the piece that matches there, or a large number."""
@@ -214,15 +234,37 @@ class PieceModel:
         for i, end in ends.items():
             after[i], alive[i] = end, True
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Identifiers of each text as little-endian 32-bit bytes."""
-        cut = [_UNIT.findall((META + t).replace(" ", META)) if t else [] for t in texts]
+    def _units(self, text: str) -> Iterator[str]:
+        for m in _UNIT.finditer((META + text).replace(" ", META)) if text else ():
+            if m.end() - m.start() > CUT_UNIT:
+                yield from self.parts(m.group())
+            else:
+                yield m.group()
+
+    def _encode(self, cut: list[list[str]]) -> list[bytes]:
         new = {u for units in cut for u in set(units) if u not in self.units}
         if len(self.units) + len(new) > CACHE_UNITS:
             self.units, new = {}, {u for units in cut for u in units}
         self.learn(sorted(new))
         return [b"".join(map(self.units.__getitem__, units)) for units in cut]
 
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Identifiers of each text as little-endian 32-bit bytes; a very long text goes in blocks of units."""
+        cut = [_UNIT.findall((META + t).replace(" ", META)) if t else [] for t in texts if len(t) <= BLOCK_CHARS]
+        cut = [[x for u in units for x in (self.parts(u) if len(u) > CUT_UNIT else (u,))] if max(map(len, units), default=0) > CUT_UNIT else units for units in cut]
+        short = iter(self._encode(cut))
+        return [next(short) if len(t) <= BLOCK_CHARS else b"".join(self._encode([block])[0] for block in self._blocks(t)) for t in texts]
+
+    def _blocks(self, text: str) -> Iterator[list[str]]:
+        block, size = [], 0
+        for unit in self._units(text):
+            block.append(unit)
+            size += len(unit)
+            if size >= BLOCK_CHARS:
+                yield block
+                block, size = [], 0
+        yield block
+
     def decode(self, ids: bytes) -> str:
         data = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         return data.decode("utf-8", "replace").replace(META, " ")[1:]

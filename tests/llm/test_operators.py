@@ -255,6 +255,35 @@ def test_sentencepiece_equals_the_library(spark, odd, sf):
     assert checked.where("round_trip").count() == len(ODD)
 
 
+def test_long_units_are_cut_where_no_piece_reaches():
+    """Texts without spaces: a border in every few characters, and the library's identifiers all the same."""
+    import base64
+
+    import sentencepiece as library
+
+    reference = library.SentencePieceProcessor(model_file=sentencepiece.default_model())
+    model, rng = sentencepiece.PieceModel(sentencepiece.default_model()), random.Random(3)
+    kana = "".join(rng.choice("日本語のテキストは空白なしで続くことが多い漢字é") for _ in range(60_000))
+    coded = base64.b64encode(rng.randbytes(150_000)).decode()
+    latin = "".join(rng.choice("the ing tion er".replace(" ", "")) for _ in range(20_000))
+    texts = [kana, coded, latin, "a " + coded + " b", "x" * 3000]
+    assert [np.frombuffer(x, "<u4").tolist() for x in model.encode_batch(texts)] == reference.encode(texts)
+    assert max(map(len, model.parts(kana))) < 200 and max(map(len, model.parts(coded))) < 2000
+    assert "".join(model.parts(latin)) == latin
+
+
+def test_a_very_long_text_takes_little_memory(monkeypatch):
+    import resource
+
+    monkeypatch.setattr(sentencepiece, "BLOCK_CHARS", 1 << 16)
+    model, rng = sentencepiece.PieceModel(sentencepiece.default_model()), random.Random(4)
+    kana = "".join(rng.choice("日本語のテキストは空白なしで続くことが多い漢字é") for _ in range(2_000_000))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ids = model.encode_batch(["short", kana])
+    grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
+    assert model.decode(ids[1]) == kana and grown < 250  # MB
+
+
 def test_suffix_array_to_a_depth():
     codes = np.random.default_rng(0).integers(0, 3, 300)
     order = sentencepiece.suffix_array(codes, 16)
