@@ -6,7 +6,8 @@ number of hits. Texts aren't in the state: the content of all hits is read again
 for byte (it is the grouping key), and digests that hold several texts are resolved by text.
 
 Defined results: null texts count as empty; a null identifier is below every other; of equal rows
-(same identifier and text) the one that lies last stays; an empty table gives an empty result;
+(same identifier and text) the one that lies last stays; very long texts are digested and compared whole, and aren't in the
+state; an empty table gives an empty result;
 columns other than the two named ones are ignored by :func:`exact_dedup` and kept by :func:`drop_exact`.
 """
 

@@ -9,7 +9,8 @@ offset through a newly opened file; only after ``retries`` failures does the tas
 Only archives named in a commit file are read, so what lost or repeated tasks leave behind doesn't count.
 
 Defined results: a null payload counts as empty; an empty payload is padded to 64 zero bytes; null
-identifiers and repeated rows are kept as they are; an empty table makes an archive directory without archives.
+identifiers and repeated rows are kept as they are; a very long payload is one member, held whole by its task alone; an
+empty table makes an archive directory without archives; other columns are ignored.
 """
 
 from __future__ import annotations
