@@ -85,7 +85,7 @@ def split_times(spark, sf_dir):
 @query(f"WITH {OBS} SELECT series_id, {_s('mjd')} AS mjd, {_s('u')} AS u, v FROM obs WHERE u IS NOT NULL AND v <> 3")
 def vector_field_scan(spark, sf_dir):
     rows = obs(spark, sf_dir).withColumnsRenamed({"series_id": "element", "u": "ua", "v": "va"})
-    out = vector_field(rows, fill=3.0, time=F.col("mjd"))
+    out = vector_field(rows, fill=(None, 3.0), time=F.col("mjd"))
     return out.select("series_id", _r("mjd").alias("mjd"), _r("u").alias("u"), "v")
 
 

@@ -34,14 +34,18 @@ def scalar_field(table: DataFrame, value: str = "zeta", fill: float | None = Non
     return finite(rows, "mjd")
 
 
-def vector_field(table: DataFrame, u: str = "ua", v: str = "va", fill: float | None = None, series: str = "element", prefix: int | None = None, indices: list[int] | None = None, layers: list[int] | None = None, time: Column | None = None) -> DataFrame:
-    """series_id, mjd, u, v (and of selected layers ``layer`` and ``layer_position``, their order): both components present."""
+def vector_field(table: DataFrame, u: str = "ua", v: str = "va", fill: float | tuple[float | None, float | None] | None = None, series: str = "element", prefix: int | None = None, indices: list[int] | None = None, layers: list[int] | None = None, time: Column | None = None) -> DataFrame:
+    """series_id, mjd, u, v (and of selected layers ``layer`` and ``layer_position``, their order): both components present.
+
+    ``fill``: value that is missing in either component, or a pair of each component's own (None: it has none).
+    """
     chosen = select_series(table, series, prefix, indices)
     if layers is not None:
         chosen = select_layers(chosen, layers)
-    clean = lambda c: F.col(c).cast("double") if fill is None else without_fill(F.col(c).cast("double"), fill)
+    fill_u, fill_v = fill if isinstance(fill, tuple) else (fill, fill)
+    clean = lambda c, own: F.col(c).cast("double") if own is None else without_fill(F.col(c).cast("double"), own)
     more = ["layer", "layer_position"] if layers is not None else []
-    rows = chosen.select(F.col(series).alias("series_id"), *more, (split_time() if time is None else time).alias("mjd"), clean(u).alias("u"), clean(v).alias("v"))
+    rows = chosen.select(F.col(series).alias("series_id"), *more, (split_time() if time is None else time).alias("mjd"), clean(u, fill_u).alias("u"), clean(v, fill_v).alias("v"))
     return finite(rows, "mjd", "u", "v")
 
 

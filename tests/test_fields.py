@@ -1,6 +1,10 @@
+from datetime import datetime
+
 import pytest
+from pyspark.sql import functions as F
 
 from perigee.operators.options import AnalysisError
+from perigee.plans import catalogue
 from perigee.sources import fields
 
 
@@ -16,6 +20,18 @@ def test_scalar_and_vector_fields(spark):
         fields.vector_field(table, u="zeta", v="va", series="node", layers=[1, 1])
 
 
+def test_each_component_has_its_own_fill_value(spark):
+    table = spark.createDataFrame([(0, 58000.0, 3.0, 1.0), (1, 58000.0, 1.0, 3.0), (2, 58000.0, 3.0, 3.0), (3, 58000.0, None, 1.0)], "element int, mjd double, ua double, va double")
+    kept = lambda fill: sorted(r.series_id for r in fields.vector_field(table, fill=fill, time=F.col("mjd")).collect())
+    assert (kept((None, 3.0)), kept((3.0, None)), kept(3.0), kept(None)) == ([0], [1], [], [0, 1, 2])
+
+
+def test_a_value_like_the_other_components_fill_stays(spark, tmp_path):
+    rows = [(1, datetime(2024, 1, 1), 5, 3.0), (3, datetime(2024, 1, 2), 5, 1.0), (4, datetime(2024, 1, 3), 6, None)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").withColumn("event_type", F.lit("view")).write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in catalogue.queries()["vector_field_scan"](spark, str(tmp_path)).collect()] == [(5, 60310.0, 3.0, 1.0)]
+
+
 def test_units_fingerprints_and_now(spark):
     assert fields.same_units("m s-1", " m s-1") == "m s-1"
     with pytest.raises(AnalysisError):
