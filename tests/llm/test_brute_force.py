@@ -245,6 +245,8 @@ def test_quality_is_fitted_on_every_labelled_document(spark, monkeypatch, broadc
     assert len(got) == len(d) and max(abs(r.evidence - want[r.doc_id][0]) for r in got) < 2e-6
     odd = {r.doc_id for r in got if r.keep != want[r.doc_id][4]}
     assert len(odd) <= 1  # the one at the limit
+    kept = {r.doc_id for r in quality.drop_poor(rows, known).select("doc_id").collect()}
+    assert kept ^ {i for i, v in want.items() if v[4]} <= odd
 
 
 def test_percentiles_are_exact(spark):
