@@ -3,7 +3,7 @@
 A batch's new units (a run of meta spaces with the word behind it; no piece reaches over such a border) are
 concatenated and indexed by a suffix array as deep as the longest piece. Every piece of the model is
 searched in it, all pieces at once, one character at a time; its range of suffixes gives its occurrences. These
-edges, sorted by position, form a table of the best score from each position and length, over which the units
+edges form a table of the best score from each position and length, over which the units
 are relaxed: the two neighbours whose edge has the best score are merged, leftmost first, until none is left. That
 is what the model's own encoder does, so identifiers equal its identifiers. What no piece covers
 becomes byte pieces. Units are remembered; a text is cut into units and looked up.
@@ -41,16 +41,30 @@ _UNIT = re.compile(f"{META}*[^{META}]+|{META}+")
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions sorted by their next ``depth`` characters, by prefix doubling; ties keep their order."""
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    order, width, n = np.argsort(rank, kind="stable"), 1, len(codes)
+    """Positions sorted by their next ``depth`` characters, by prefix doubling; ties keep their order.
+
+    The first sort takes as many characters at once as fit into a key.
+    """
+    n = len(codes)
+    if not n:
+        return np.zeros(0, np.int64)
+    low = int(codes.min())
+    present = np.zeros(int(codes.max()) - low + 1, bool)
+    present[codes - low] = True
+    char = np.cumsum(present)[codes - low]  # from 1, as nothing stands behind the end
+    bits, width, key = int(char.max()).bit_length(), 1, char
+    while width * 2 * bits <= 63 and width < depth:
+        longer = key << (width * bits)
+        longer[: max(n - width, 0)] |= key[width:]
+        key, width = longer, width * 2
+    order = np.argsort(key, kind="stable")
     while width < depth:
-        key = rank * (n + 1)
-        key[: max(n - width, 0)] += rank[width:] + 1
-        order = np.argsort(key, kind="stable")
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
+        key = rank * (n + 1)
+        key[: max(n - width, 0)] += rank[width:] + 1
+        order = np.argsort(key, kind="stable")
         width *= 2
     return order
 
@@ -124,9 +138,9 @@ class PieceModel:
         count = high - low
         piece = np.repeat(np.arange(len(count)), count)
         at = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
-        sort = np.lexsort((self.lengths[piece], at))
+        # No two pieces match at one position with one length, so the order of the edges doesn't matter.
         best = np.full((n + 1, self.depth + 1), none, np.int32)
-        best[at[sort], self.lengths[piece[sort]]] = self.rank[piece[sort]]
+        best.ravel()[at * (self.depth + 1) + self.lengths[piece]] = self.rank[piece]
         return best
 
     def learn(self, units: Iterable[str]) -> None:
@@ -245,7 +259,7 @@ class PieceModel:
         new = {u for units in cut for u in set(units) if u not in self.units}
         if len(self.units) + len(new) > CACHE_UNITS:
             self.units, new = {}, {u for units in cut for u in units}
-        self.learn(sorted(new))
+        self.learn(new)
         return [b"".join(map(self.units.__getitem__, units)) for units in cut]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:

@@ -291,6 +291,19 @@ def test_suffix_array_to_a_depth():
     assert parts == sorted(parts)
 
 
+@pytest.mark.parametrize("letters,depth,sorts", [(100, 16, 2), (2, 16, 1), (100_000, 16, 4), (100, 5, 1), (1, 3, 1)])
+def test_suffix_array_takes_few_sorts(monkeypatch, letters, depth, sorts):
+    codes = np.random.default_rng(3).integers(0, letters, 500)
+    codes[::50] = -2
+    codes[300:360] = codes[100:160]
+    calls, real = [], np.argsort
+    monkeypatch.setattr(sentencepiece.np, "argsort", lambda *a, **b: calls.append(1) or real(*a, **b))
+    got = sentencepiece.suffix_array(codes, depth).tolist()
+    whole = 1 << (depth - 1).bit_length()  # doubled lengths reach as far
+    assert got == sorted(range(500), key=lambda i: codes[i : i + whole].tolist()) and len(calls) <= sorts
+    assert sentencepiece.suffix_array(codes[:0], depth).size == 0
+
+
 # -- quality -----------------------------------------------------------------------------------------------------------
 
 
