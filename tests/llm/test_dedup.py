@@ -340,3 +340,29 @@ def test_near_copies_in_hot_groups_equal_brute_force(spark):
     table = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)
     kept = {r.doc_id for r in drop_near_copies(table).collect()}
     assert len(least) < 0.6 * len(texts) and kept == set(least.values())
+
+
+def test_doubling_sorts_once_a_round(monkeypatch):
+    names = np.random.default_rng(2).integers(1, 4, 2000).astype(np.int32)
+    names[1000:] = names[:1000]
+    calls, real = [], np.argsort
+    monkeypatch.setattr(induced.np, "argsort", lambda *a, **b: calls.append(1) or real(*a, **b))
+    order, ranks = induced._doubled(names, 25)
+    assert len(calls) == len(ranks) - 1
+    assert [names[i : i + 32].tolist() for i in order] == sorted(names[i : i + 32].tolist() for i in range(2000))
+
+
+def test_the_first_induction_gives_only_suffixes_smaller_than_the_next(monkeypatch):
+    text = np.append(np.random.default_rng(4).integers(1, 5, 3000), 0).astype(np.int16)
+    seen, real = [], induced._induce
+
+    def watched(text, seeds, lcp, alphabet, cap, scratch):
+        for at, common in real(text, seeds, lcp, alphabet, cap, scratch):
+            seen.extend([] if cap else at.tolist())
+            yield at, common
+
+    monkeypatch.setattr(induced, "_induce", watched)
+    places, _ = induced.sort_suffixes(text, 5, 50)
+    whole = text.tolist()
+    assert [whole[i : i + 50] for i in places] == sorted(whole[i : i + 50] for i in range(len(whole)))
+    assert sorted(seen) == [i for i in range(len(whole)) if whole[i:] < whole[i + 1 :] or i == len(whole) - 1]
