@@ -36,6 +36,18 @@ def test_run_equals_the_stages(spark, sf, stages):
     assert out.exceptAll(stages["packing"].select(columns)).count() == 0 and out.count() == stages["packing"].count()
 
 
+@pytest.mark.parametrize("last", [True, False])
+def test_quality_is_judged_by_every_label(spark, tmp_path, last):
+    from pyspark.sql import functions as F
+
+    ids = [i for (i,) in spark.range(21_000).orderBy(F.xxhash64("id"), "id").collect()]
+    poor = set(ids[20_000:] if last else ids[:1_000])  # the other 20,000 labels, drawn by least or greatest hash, know no poor document
+    docs = spark.createDataFrame([(i, f"!!! {i} |||" if i in poor else f"some plain words of document {i}.", "en", "s", 9) for i in ids], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, int(i not in poor), 0) for i in ids], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = [i for (i,) in corpus_pipeline.quality(spark, docs, str(tmp_path)).select("doc_id").collect()]
+    assert sorted(kept) == sorted(set(ids) - poor)
+
+
 @pytest.mark.parametrize("name", ["quality", "exact", "near", "privacy"])
 def test_clashing_columns(spark, sf, name):
     from pyspark.sql import functions as F
