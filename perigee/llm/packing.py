@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import settle, small_batches
+from .runtime import settle, small_batches, trim
 
 CAPACITY = 4096
 END = 1
 #: Distinct words whose ids a worker keeps: two generations, so that words in use outlive the rare ones.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: Characters of the texts whose words a worker holds at once; a longer text is held alone.
+HELD = 400_000
 
 _LETTER = "a-zªµºß-öø-ſ"
 _NUMBER = "0-9²³¹¼½¾"
@@ -70,7 +72,8 @@ class WordTokens:
     def _learn(self, words: set[str]) -> None:
         if len(self.words) > CACHE_WORDS // 2:
             self.words.turn()
-        new = list(words - self.words.keys() - self.words.last.keys())
+        now, last = self.words, self.words.last
+        new = [word for word in words if word not in now and word not in last]  # a set less a dictionary's keys would go through the dictionary
         if not new:
             return
         # A word's last token alone ends a word, so all new ones are encoded in one text and cut apart again.
@@ -82,7 +85,17 @@ class WordTokens:
         self.words.update(zip(new, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
 
     def many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; what is new in any of them is learnt at once."""
+        """The ids of each text."""
+        out, start, held = [], 0, 0
+        for end, text in enumerate(texts, 1):
+            held += len(text)
+            if held >= HELD or end == len(texts):
+                out += self._some(texts[start:end])
+                start, held = end, 0
+        return out
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        """What is new in any of the texts is learnt at once."""
         cut = [None if _UNUSUAL.search(t) else _WORDS.findall(t.lower()) for t in texts]
         self._learn(set().union(*filter(None, cut)))
         code = self.words.__getitem__
@@ -98,6 +111,7 @@ _loaded: dict[str, WordTokens] = {}
 def _tokens(path: str) -> WordTokens:
     if path not in _loaded:
         _loaded[path] = WordTokens(path)
+        trim()
     return _loaded[path]
 
 
@@ -125,6 +139,7 @@ def _cut(path: str, capacity: int):
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
+        trim()  # the worker waits for other tasks
 
     return run
 

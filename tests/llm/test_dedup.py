@@ -43,6 +43,12 @@ def test_exact_dedup_in_several_micro_batches(docs):
     assert exact_dedup(docs.repartition(6), batch_bytes=1).where("kept").count() == 4
 
 
+def test_exact_dedup_keeps_no_threads_for_checksums(docs, spark):
+    assert drop_exact(docs).count() == 4
+    names = [t.getName() for t in spark._jvm.java.lang.Thread.getAllStackTraces().keySet()]  # stores stay for a while after the stream's end
+    assert not [x for x in names if "hecksum" in x]
+
+
 def test_drop_exact_keeps_columns_and_one_of_each(docs, spark, tmp_path):
     out = drop_exact(docs)
     assert out.columns == docs.columns and out.count() == 4

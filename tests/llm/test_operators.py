@@ -233,6 +233,18 @@ def test_word_tokens_equal_the_tokenizer(text):
     assert encode(text) == np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_words_of_few_texts_are_held_at_once():
+    import tracemalloc
+
+    encode, text = packing._tokens(packing.default_tokenizer()), "some plain words of a text, more of them. " * 500
+    expected = encode(text)
+    tracemalloc.start()
+    got = encode.many([text] * 300)  # 6 million characters, 1.6 million words and marks
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [expected] * 300 and peak < 3 * 300 * len(expected), peak  # three times what is returned
+
+
 # -- SentencePiece ---------------------------------------------------------------------------------------------------
 
 
