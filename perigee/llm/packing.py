@@ -29,9 +29,9 @@ from .runtime import settle, small_batches, trim
 CAPACITY = 4096
 END = 1
 #: Distinct words whose ids a worker keeps: two generations, so that words in use outlive the rare ones.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 #: Characters of the texts whose words a worker holds at once; a longer text is held alone.
-HELD = 400_000
+HELD = 800_000
 
 _LETTER = "a-zªµºß-öø-ſ"
 _NUMBER = "0-9²³¹¼½¾"
